@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_LIMIT_BYTES, delete_path, workdir
+from ..session import BROADCAST_LIMIT_BYTES, delete_path, workdir, written
 from .moments import with_instants
 
 
@@ -89,6 +89,8 @@ class MessageStore:
         broadcast while their counted size allows it and joined by a shuffle beyond that.
         """
         n = self.state["batch"] + 1
+        landed = f"{self.root}/incoming/batch-{n}"
+        batch = written(batch, landed)  # read several times below
         keyed = F.lit(True)
         for k in self.key:
             keyed = keyed & F.col(k).isNotNull()
@@ -126,7 +128,7 @@ class MessageStore:
         batch.filter(keyed).select(self._key_hash().alias("key_hash"), self.part).distinct().write.mode("overwrite").parquet(index_path)
         state |= {"batch": n, "index": [*state["index"], index_path], "dropped": [*state["dropped"], lost_path]}
         self._commit(state)
-        for path in replaced:
+        for path in [*replaced, landed]:
             delete_path(self.spark, path)
         return [a for a in affected if a.removeprefix("=")]
 
