@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import containers, mixture, seen_keys
+from . import containers, lookalikes, mixture, reading_level, seen_keys
 
 QUERIES = {
+    "p3_found": lookalikes.p3_found,
+    "p3_forms": lookalikes.p3_forms,
     "p4_found": seen_keys.p4_found,
     "p4_errors": seen_keys.p4_errors,
     "p8_assignments": containers.p8_assignments,
     "p8_fill": containers.p8_fill,
     "p9_mixture": mixture.p9_mixture,
     "p9_shares": mixture.p9_shares,
+    "p10_found": reading_level.p10_found,
+    "p10_levels": reading_level.p10_levels,
 }
 
 ORACLES = {"p4_found": seen_keys.P4_SQL}
