@@ -158,7 +158,7 @@ def english_words(bags: DataFrame) -> np.ndarray:
     return np.where(known, p / (p + q), 0.5)
 
 
-def fit(bags: DataFrame, graded: pd.DataFrame, rounds: int = 2, anchor: float = 20.0) -> Model:
+def fit(bags: DataFrame, graded: pd.DataFrame, rounds: int = 3, anchor: float = 20.0) -> Model:
     """Fit to all documents' bags and graded texts (grade, text).
 
     ``rounds`` of alternation over the corpus; ``anchor``: how often each graded text counts.
@@ -199,7 +199,7 @@ def _cut(levels: list[tuple[float, float]]) -> float:
     return float(np.mean(good)) if levels else 3.5
 
 
-def levels(docs: DataFrame, graded: DataFrame, rounds: int = 2) -> tuple[DataFrame, Model]:
+def levels(docs: DataFrame, graded: DataFrame, rounds: int = 3) -> tuple[DataFrame, Model]:
     """(doc_id, level, english_share, demanding) for documents (doc_id, lang, text), and the model.
 
     ``level`` is on the scale of the grades. NULL and empty texts have a NULL level and aren't demanding; texts that
