@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import containers, lookalikes, mixture, reading_level, seen_keys
+from . import containers, languages, lookalikes, mixture, reading_level, seen_keys
 
 QUERIES = {
+    "p1_found": languages.p1_found,
+    "p1_segments": languages.p1_segments,
     "p3_found": lookalikes.p3_found,
     "p3_forms": lookalikes.p3_forms,
     "p4_found": seen_keys.p4_found,
