@@ -39,13 +39,13 @@ _CODE = {n: code for code, names in NAMES.items() for n in names.split()}
 #: Size of the table of hashed features; most rows that the field is fitted to, per declared language.
 FEATURES, ROWS_PER_LANGUAGE = 1 << 16, 600
 
-#: Stretches of one or two words need this confidence to be in another language than the stretch before.
+#: Stretches of one or two words need this confidence to be in another language than the stretch beside them.
 SURE = 0.75
 
 _MARKS = "̀-ͯ҃-҇ऀ-ःऺ-ॏ॑-ॗॢॣ‌‍"
 _WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}]|['’](?=[^\W\d_]))*")
 #: Where one stretch of text may end and another, in another language, begin.
-_BREAK = re.compile(r"(?<=[.!?।…])[\"”»')\]]*\s+|\s*\n+\s*|\s+[|/•·–—\-]\s+|\s*[|•·]\s*")
+_BREAK = re.compile(r"(?<=[.!?।…])[\"”»')\]]*\s+|\s*\n+\s*|\s*[:;]\s+|\s+[|/•·–—\-]\s+|\s*[|•·]\s*")
 
 
 def code_of(label: str | None) -> str | None:
@@ -217,7 +217,7 @@ def read(f: Field, texts: list[str]) -> list[list[tuple[int, int, str | None, fl
     post = f.posteriors([np.array([f.score(m[0]) for m in ws]) if ws else np.zeros((0, len(LANGS))) for ws in words])
     out = []
     for t, ws, p in zip(tidied, words, post, strict=True):
-        k, rows = 0, []
+        k, rows, held = 0, [], []
         for a, b in stretches(t):
             first = k
             while k < len(ws) and ws[k].start() < b:
@@ -225,11 +225,16 @@ def read(f: Field, texts: list[str]) -> list[list[tuple[int, int, str | None, fl
             if k > first:
                 mean = p[first:k].mean(axis=0)
                 lang, sure = LANGS[int(mean.argmax())], float(mean.max())
-                if k - first <= 2 and sure < SURE and rows and rows[-1][2]:  # a word or two that tell little, say before a cut
-                    lang, sure = rows[-1][2], float(mean[LANGS.index(rows[-1][2])])
+                weak = k - first <= 2 and sure < SURE  # a word or two that tell little, say before a cut
                 rows.append((a, b, lang, sure))
+                held.append((len(rows) - 1, weak, mean))
             else:
                 rows.append((a, b, None, 0.0))
+        for i, (at, weak, mean) in enumerate(held):
+            near = held[i - 1] if i else (held[1] if len(held) > 1 else None)
+            if weak and near and not (i == 0 and near[1]):
+                a, b, _, _ = rows[at]
+                rows[at] = (a, b, rows[near[0]][2], float(mean[LANGS.index(rows[near[0]][2])]))
         out.append(rows)
     return out
 
