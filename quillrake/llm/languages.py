@@ -37,7 +37,7 @@ NAMES = {
 _CODE = {n: code for code, names in NAMES.items() for n in names.split()}
 
 #: Size of the table of hashed features; most rows that the field is fitted to, per declared language.
-FEATURES, ROWS_PER_LANGUAGE = 1 << 16, 600
+FEATURES, ROWS_PER_LANGUAGE = 1 << 16, 1200
 
 #: Stretches of one or two words need this confidence to be in another language than the stretch beside them.
 SURE = 0.75

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import containers, languages, lookalikes, mixture, reading_level, seen_keys
+from . import containers, languages, lookalikes, mixture, reading_level, seen_keys, truncation
 
 QUERIES = {
     "p1_found": languages.p1_found,
@@ -11,6 +11,8 @@ QUERIES = {
     "p3_forms": lookalikes.p3_forms,
     "p4_found": seen_keys.p4_found,
     "p4_errors": seen_keys.p4_errors,
+    "p7_found": truncation.p7_found,
+    "p7_shares": truncation.p7_shares,
     "p8_assignments": containers.p8_assignments,
     "p8_fill": containers.p8_fill,
     "p9_mixture": mixture.p9_mixture,
