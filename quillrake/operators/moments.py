@@ -52,9 +52,10 @@ def to_utc(df: DataFrame, text: str, intervals: DataFrame, zone: str, date_order
     - ``unknown_zone``: a local time without a zone that the tz database knows; no instant,
     - ``unreadable``: no full date and time, or an impossible one; no instant (also NULL and blank texts).
 
-    Every row of ``df`` comes out once; its own columns keep their names, which must not start with ``qr_``.
+    Every row of ``df`` comes out once; its own columns keep their names, which must not start with ``qr_``. A column
+    that is called ``utc_ms`` or ``moment_status`` already is replaced.
     """
-    own = [F.col(f"`{c}`") for c in df.columns]
+    own = [F.col(f"`{c}`") for c in df.columns if c not in ("utc_ms", "moment_status")]
     a = df.select(*own, M.split_parts(F.col(f"`{text}`")).alias("qr_p"), F.col(f"`{zone}`").alias("qr_home"), F.col(f"`{date_order}`").alias("qr_order"))
     a = a.select(
         *own, "qr_home",

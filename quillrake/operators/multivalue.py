@@ -205,14 +205,14 @@ class Splitter:
         """``df`` with ``vals array<string>``: the values of its column ``text`` in their order.
 
         NULL and blank texts have no values (an empty array). Every row comes out once. ``df`` needs no key; names
-        that start with ``qr_`` are reserved.
+        that start with ``qr_`` are reserved, and a column ``vals`` is replaced.
         """
-        own = [F.col(f"`{c}`") for c in df.columns]
+        own = [F.col(f"`{c}`") for c in df.columns if c != "vals"]
         a = df.select(*own, F.coalesce(lexed(F.col(f"`{text}`")), F.array().cast("array<string>")).alias("qr_segs"))
         soft = F.exists("qr_segs", lambda s: s.rlike(_HAS_SOFT))
         plain = a.filter(~soft).select(*own, F.filter(F.transform("qr_segs", clean), lambda v: v != "").alias("vals"))
         rest = a.filter(soft).withColumn("qr_row", F.monotonically_increasing_id())
-        rest = written(rest, f"{self.root}/rows-{len(self.root)}-{id(df)}")
+        rest = written(rest, workdir(self.spark, "multivalue-rows"))
         parts = rest.select("qr_row", F.posexplode("qr_segs").alias("qr_pos", "seg"))
         known = self.decisions
         if known.count() * 400 <= BROADCAST_LIMIT_BYTES:
