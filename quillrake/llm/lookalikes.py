@@ -177,7 +177,7 @@ def learn(values: DataFrame) -> Reader:
         out.update(_weighted(words))
         yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["s", "a", "b", "n"])
 
-    rows = values.select("value").mapInPandas(count, "s string, a string, b string, n long").groupBy("s", "a", "b").agg(F.sum("n").alias("n")).toPandas()
+    rows = values.select("value").filter("value IS NOT NULL").mapInPandas(count, "s string, a string, b string, n long").groupBy("s", "a", "b").agg(F.sum("n").alias("n")).toPandas()
     return Reader({(s, a, b): int(n) for s, a, b, n in rows.itertuples(index=False)})
 
 

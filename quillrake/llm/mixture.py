@@ -27,7 +27,7 @@ def sainte_lague(weights: list[float], caps: list[int], seats: int) -> list[int]
     if seats <= 0:
         return [0] * len(weights)
     held = lambda d: [min(c, int(w / d + 0.5)) for w, c in zip(weights, caps, strict=True)]
-    lo, hi = 0.0, 2 * max(weights) + 1e-300  # at hi nobody has a seat
+    lo, hi = 0.0, 4 * max(weights) + 1e-300  # at hi nobody has a seat
     for _ in range(200):
         mid = (lo + hi) / 2
         if mid <= 0 or sum(held(mid)) > seats - len(weights):
