@@ -33,6 +33,11 @@ def _names() -> frozenset[str]:
     return frozenset(available_timezones())
 
 
+def names() -> list[str]:
+    """All zones of the tz database, some 600."""
+    return sorted(_names())
+
+
 def known(name: str) -> bool:
     return name in _names()
 
