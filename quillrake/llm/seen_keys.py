@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 from ..functions.text import utrim
 from ..session import workdir, written
 
-#: Largest size of each of the three bitmaps: 8 MiB hold 67 million bits. Beyond 16 bits per key the rate of positives
-#: that have to be verified rises; the answers stay exact.
-FILTER_BYTES = 8 << 20
+#: Largest size of each of the three bitmaps: 32 MiB hold 268 million bits, 16 for each of 17 million keys. With more
+#: keys (or less memory) the rate of positives that have to be verified rises; the answers stay exact.
+FILTER_BYTES = 32 << 20
 
 
 @dataclass
