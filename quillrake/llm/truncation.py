@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .languages import tidy
 
 #: Size of the table of hashed features; most values that are learned from, per field.
-FEATURES, SAMPLE = 1 << 18, 12_000
+FEATURES, SAMPLE = 1 << 18, 30_000
 
 #: Marks that sources set where they cut.
 CUT_MARKS = ("[...]", "[…]", "(...)", "(…)", "...", "…", "&hellip;")
@@ -50,15 +50,22 @@ class Limits:
 
 
 def find_peaks(lengths: np.ndarray, counts: np.ndarray, ratio: float = 25.0, least: int = 8) -> dict[int, float]:
-    """Lengths whose count is far above that of the lengths around them, with the log ratio."""
+    """Lengths whose count is far above that of the lengths over them, with the log ratio.
+
+    At a limit longer values end, so few are left beyond it (and beyond a mark): a peak with many values beyond is no
+    limit but a form of text that always has that length.
+    """
     have = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    order = np.argsort(lengths)
+    at, upto = lengths[order], np.concatenate([[0], np.cumsum(counts[order])])
     out = {}
     for x, n in have.items():
         if n >= least and x >= 8:
             # Cuts at a word's end spread below a limit, so the lengths above tell more than those below.
             around = [have.get(x + d, 0) for d in range(1, 9)]
             base = sum(around) / len(around) + 0.5
-            if n / base >= ratio:
+            beyond = int(upto[-1] - upto[np.searchsorted(at, x + 8, side="right")])
+            if n / base >= ratio and 2 * n >= beyond:
                 out[int(x)] = float(np.log(n / base))
     return out
 
@@ -160,7 +167,7 @@ def fit(rows: pd.DataFrame, lim: Limits, epochs: int = 6, seed: int = 11) -> Sco
         if not raw or _MARK.search(raw) or lim.at(source, name, len(value)) or lim.at(source, name, len(raw)) or lim.at(source, name, len(raw) + 1):
             continue
         add(source, name, value, 0, len(raw) + int(rng.integers(0, 2)) if rng.random() < 0.006 else None)
-        if rng.random() < 0.8 and (c := cut(rng, raw)):
+        if rng.random() < 0.6 and (c := cut(rng, raw)):
             add(source, name, c[0], 1, c[1] if rng.random() < 0.5 else None)
         if raw[-1] in STOPS and rng.random() < 0.15:  # complete sentences before the end are complete values too
             ends = [m.end() for m in re.finditer(f"[{re.escape(STOPS)}](?=\\s)", raw)]
