@@ -41,14 +41,13 @@ _START = "^"
 SWITCH, LEAN, ALPHABET = 12.0, 8.0, 100
 
 
-@functools.lru_cache(maxsize=200_000)
 def _plain_char(ch: str) -> str:
     if ch in PLAIN_MARKS:
         return PLAIN_MARKS[ch]
     kind = unicodedata.category(ch)
     if kind in ("Zs", "Zl", "Zp") or ch in "\t\n\r\x0b\x0c\x85":
         return " "
-    if kind in ("Cf", "Cc") or "︀" <= ch <= "️" or "\U000e0100" <= ch <= "\U000e01ef":
+    if kind in ("Cf", "Cc") or "\ufe00" <= ch <= "\ufe0f" or "\U000e0100" <= ch <= "\U000e01ef":
         return ""
     form = unicodedata.decomposition(ch)
     if form.startswith(_SAME_LOOK):
@@ -58,12 +57,23 @@ def _plain_char(ch: str) -> str:
     return ch
 
 
+class _PlainTable(dict):
+    """Table for ``str.translate`` that fills itself."""
+
+    def __missing__(self, code: int) -> str:
+        got = self[code] = _plain_char(chr(code))
+        return got
+
+
+_PLAIN = _PlainTable()
+
+
 def plain(text: str) -> str:
     """Without invisible characters, in plain widths and blanks, decomposed; runs of blanks become one, none at the ends."""
     if not text.isascii():
-        text = unicodedata.normalize("NFD", "".join(map(_plain_char, text)))
+        text = unicodedata.normalize("NFD", text.translate(_PLAIN))
     elif not text.isprintable():
-        text = "".join(map(_plain_char, text))
+        text = text.translate(_PLAIN)
     return " ".join(text.split())
 
 
@@ -73,15 +83,16 @@ def script_of(ch: str) -> str:
     return name if name in SCRIPTS else ""
 
 
-def pair_counts(words: Iterator[str]) -> Counter:
-    """Counts of (previous letter, letter) in words of one script, by script."""
+def pair_counts(stretches: Counter) -> Counter:
+    """Counts of (script, previous letter, letter), in small letters, in the words of one script."""
     out: Counter = Counter()
-    for w, n in Counter(words).items():
-        letters = [c for c in w.lower() if not unicodedata.combining(c)]
-        scripts = {script_of(c) for c in letters}
-        if len(scripts) == 1 and (s := scripts.pop()):
-            for a, b in zip([_START, *letters], letters, strict=False):
-                out[s, a, b] += n
+    for stretch, n in stretches.items():
+        for w in _WORDS.findall(stretch):
+            letters = [c for c in w.lower() if not unicodedata.combining(c)]
+            scripts = {script_of(c) for c in letters}
+            if len(scripts) == 1 and (s := scripts.pop()):
+                for a, b in zip([_START, *letters], letters, strict=False):
+                    out[s, a, b] += n
     return out
 
 
@@ -99,7 +110,7 @@ class Reader:
             self.whole[s] += n
         total = sum(self.whole.values())
         self.prior = {s: math.log((self.whole[s] + 1) / (total + len(SCRIPTS))) for s in SCRIPTS}
-        self.known: dict[tuple[str, str], str] = {}
+        self.known: dict[str, dict[str, str]] = {}
 
     def pair(self, s: str, a: str, b: str) -> float:
         """log P(b | a) within script s, backed off to the letter alone."""
@@ -107,17 +118,21 @@ class Reader:
         return math.log((self.pairs.get((s, a, b), 0) + 2.0 * alone) / (self.before[s, a] + 2.0))
 
     def word(self, w: str, lean: str) -> str:
-        got = self.known.get((w, lean))
-        if got is None:
-            if len(self.known) > 500_000:  # a cache only: what it forgets is read again
-                self.known.clear()
-            got = self.known[w, lean] = self._read(w, lean)
+        """A stretch without blanks, its words read and all else as it is."""
+        got = _WORDS.sub(lambda m: self._read(m[0], lean), w)
+        known = self.known[lean]
+        if len(known) > 500_000:  # a cache only: what it forgets is read again
+            known.clear()
+        known[w] = got
         return got
 
     def _read(self, w: str, lean: str) -> str:
         """Viterbi over letters; the lattice of a letter is its set of look-alikes in a fixed order."""
         if len(w) > 200 or not any(c in _CLASS for c in w):  # no word: the first letter of each set stands for it
             return "".join(_CLASS.get(c, c)[0] for c in w)
+        anchors = [s for s, only in _ONLY.items() if only.search(w)]
+        if len(anchors) == 1 and not _FOREIGN[anchors[0]].search(w):
+            return w.translate(_INTO[anchors[0]])  # letters that one script alone has leave one path without changes
         begin = {s: self.prior[s] + (LEAN if s == lean else 0.0) for s in SCRIPTS}
         paths: dict[str, tuple[float, str]] | None = None  # last letter: (score, path)
         for c in w:
@@ -147,11 +162,16 @@ class Reader:
         """
         t = plain(text)
         lean = "CYRILLIC" if not t.isascii() and len(_CYRILLIC_ONLY.findall(t)) > len(_LATIN_ONLY.findall(t)) else "LATIN"
-        return unicodedata.normalize("NFC", _WORDS.sub(lambda m: self.word(m[0], lean), t))
+        known = self.known.setdefault(lean, {})
+        return unicodedata.normalize("NFC", " ".join([known.get(w) or self.word(w, lean) for w in t.split(" ")]))
 
 
-_CYRILLIC_ONLY = re.compile("[" + "".join(c for c in map(chr, range(0x400, 0x530)) if c.isalpha() and c not in _CLASS) + "]")
-_LATIN_ONLY = re.compile("[" + "".join(c for c in map(chr, range(65, 123)) if c.isalpha() and c not in _CLASS) + "]")
+_RANGES = {"LATIN": (0x41, 0x250), "CYRILLIC": (0x400, 0x530), "GREEK": (0x370, 0x400)}
+_ONLY = {s: re.compile("[" + "".join(c for c in map(chr, range(*r)) if c.isalpha() and c not in _CLASS) + "]") for s, r in _RANGES.items()}
+_LATIN_ONLY, _CYRILLIC_ONLY = _ONLY["LATIN"], _ONLY["CYRILLIC"]
+#: Of each script: letters that have no form in it though they have look-alikes, and the form of those that do.
+_FOREIGN = {s: re.compile("[" + "".join(c for c, g in _CLASS.items() if all(script_of(x) != s for x in g)) + "\0]") for s in SCRIPTS}
+_INTO = {s: str.maketrans({c: next(x for x in g if script_of(x) == s) for c, g in _CLASS.items() if any(script_of(x) == s for x in g)}) for s in SCRIPTS}
 _WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 
 
@@ -167,28 +187,20 @@ def learn(values: DataFrame) -> Reader:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: Counter = Counter()
-        words: Counter = Counter()
+        words: Counter = Counter()  # stretches without blanks
         for b in batches:
             for v in b["value"]:
-                words.update(_WORDS.findall(plain(v)))
+                words.update(plain(v).split(" "))
             if len(words) > 200_000:
-                out.update(_weighted(words))
+                out.update(pair_counts(words))
                 words.clear()
-        out.update(_weighted(words))
+        out.update(pair_counts(words))
         yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["s", "a", "b", "n"])
 
     rows = values.select("value").filter("value IS NOT NULL").mapInPandas(count, "s string, a string, b string, n long").groupBy("s", "a", "b").agg(F.sum("n").alias("n")).toPandas()
     return Reader({(s, a, b): int(n) for s, a, b, n in rows.itertuples(index=False)})
 
 
-def _weighted(words: Counter) -> Counter:
-    out: Counter = Counter()
-    for w, n in words.items():
-        for k, m in pair_counts(iter([w])).items():
-            out[k] += m * n
-    return out
-
-
 def canonical(values: DataFrame, reader: Reader | None = None) -> DataFrame:
     """``values`` (with ``value string``) and ``form string``: equal for values that look the same in print.
 

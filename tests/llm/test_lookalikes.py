@@ -1,5 +1,6 @@
 import random
 import unicodedata
+from collections import Counter
 
 from quillrake.llm import lookalikes as L
 
@@ -7,8 +8,7 @@ TEXT = "The mayor praised volunteers for their work near Kanezard. Профес
 
 
 def reader():
-    counts = L._weighted(__import__("collections").Counter(L._WORDS.findall(L.plain(TEXT)) * 5))
-    return L.Reader(counts)
+    return L.Reader(L.pair_counts(Counter(L.plain(TEXT).split(" ") * 5)))
 
 
 def test_same_look_same_form():
