@@ -8,6 +8,8 @@ Forward-backward gives each word's language probabilities; a segment takes the l
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
 import unicodedata
 import zlib
@@ -61,6 +63,7 @@ def tidy(text: str) -> str:
     return _WORD.sub(lambda m: _one_script(m[0]), "\n".join(lines))
 
 
+@functools.lru_cache(maxsize=200_000)
 def _one_script(w: str) -> str:
     if w.isascii() or not any(c in _CLASS for c in w):
         return w
@@ -84,8 +87,17 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_HASHES: dict[str, int] = {}
+
+
 def _hash(kind: str, s: str) -> int:
-    return zlib.crc32(f"{kind}{s}".encode()) % FEATURES
+    key = kind + s
+    got = _HASHES.get(key)
+    if got is None:
+        if len(_HASHES) > 1_000_000:  # a cache only: pieces of words repeat
+            _HASHES.clear()
+        got = _HASHES[key] = zlib.crc32(key.encode()) % FEATURES
+    return got
 
 
 def features(word: str) -> list[int]:
@@ -106,18 +118,27 @@ class Field:
     weights: np.ndarray
     trans: np.ndarray
     start: np.ndarray
-    memo: dict[str, np.ndarray] = field(default_factory=dict)
+    places: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray | None = None
 
     def __getstate__(self):
-        return {"weights": self.weights, "trans": self.trans, "start": self.start, "memo": {}}
-
-    def score(self, word: str) -> np.ndarray:
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) > 300_000:  # a cache only
-                self.memo.clear()
-            got = self.memo[word] = self.weights[features(word)].sum(axis=0)
-        return got
+        return {"weights": self.weights, "trans": self.trans, "start": self.start, "places": {}, "table": None}
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Scores of words: (words, languages). Words that were met before are looked up."""
+        if self.table is None or len(self.places) > 300_000:  # a cache only
+            self.places.clear()
+            self.table = np.zeros((1024, len(LANGS)))
+        at, places = [], self.places
+        for w in words:
+            k = places.get(w)
+            if k is None:
+                k = places[w] = len(places)
+                if k >= len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[k] = self.weights[features(w)].sum(axis=0)
+            at.append(k)
+        return self.table[at] if at else np.zeros((0, len(LANGS)))
 
     def posteriors(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
         """Probabilities of the languages of each word of each text, by forward-backward over texts of like length."""
@@ -214,16 +235,16 @@ def read(f: Field, texts: list[str]) -> list[list[tuple[int, int, str | None, fl
     """Of each text its stretches: (from, to, language, confidence), in the tidied text; a stretch without words has no language."""
     tidied = [tidy(t) for t in texts]
     words = [list(_WORD.finditer(t)) for t in tidied]
-    post = f.posteriors([np.array([f.score(m[0]) for m in ws]) if ws else np.zeros((0, len(LANGS))) for ws in words])
+    post = f.posteriors([f.scores([m[0] for m in ws]) for ws in words])
     out = []
     for t, ws, p in zip(tidied, words, post, strict=True):
         k, rows, held = 0, [], []
+        begins = [m.start() for m in ws]
         for a, b in stretches(t):
             first = k
-            while k < len(ws) and ws[k].start() < b:
-                k += 1
+            k = bisect.bisect_left(begins, b, k)
             if k > first:
-                mean = p[first:k].mean(axis=0)
+                mean = p[first:k].sum(axis=0) / (k - first)
                 lang, sure = LANGS[int(mean.argmax())], float(mean.max())
                 weak = k - first <= 2 and sure < SURE  # a word or two that tell little, say before a cut
                 rows.append((a, b, lang, sure))
