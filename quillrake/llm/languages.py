@@ -178,7 +178,7 @@ class Field:
         return [p[i, : n[i]] for i in range(b)]
 
 
-def train(sequences: list[tuple[list[str], np.ndarray]], epochs: int = 6, rate: float = 0.3, seed: int = 5) -> Field:
+def train(sequences: list[tuple[list[str], np.ndarray]], epochs: int = 3, rate: float = 0.3, seed: int = 5) -> Field:
     """Fit a field to (words, language number of each word) by AdaGrad on the likelihood of the labels."""
     k = len(LANGS)
     f = Field(np.zeros((FEATURES, k)), np.eye(k) * 2.0, np.zeros(k))
