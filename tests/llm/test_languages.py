@@ -62,6 +62,20 @@ def test_forward_backward_against_enumeration():
             assert np.allclose(got[j], p.sum(axis=tuple(i for i in range(len(e)) if i != j)))
 
 
+def test_training_takes_all_its_passes(monkeypatch):
+    passes, whole = [], L.Field.posteriors
+    monkeypatch.setattr(L.Field, "posteriors", lambda f, e, *more: passes.append(len(e)) or whole(f, e, *more))
+    L.train([(["the", "mayor"], np.array([0, 0]))] * 10)
+    assert sum(passes) == 6 * 10
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(4)
+    at, rows, want = rng.integers(0, 5, 40), rng.normal(size=(40, 8)), np.zeros((7, 8))
+    np.add.at(want, at, rows)
+    assert np.allclose(L._sums(at, rows, 7), want) and not L._sums(at[:0], rows[:0], 7).any()
+
+
 def test_labels():
     assert [L.code_of(x) for x in ("EN", " en-GB ", "pt_PT", "Hindi", "ger", "xx", "", None, "und")] == ["en", "en", "pt", "hi", "de", None, None, None, None]
 
