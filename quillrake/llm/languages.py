@@ -140,8 +140,11 @@ class Field:
             at.append(k)
         return self.table[at] if at else np.zeros((0, len(LANGS)))
 
-    def posteriors(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
-        """Probabilities of the languages of each word of each text, by forward-backward over texts of like length."""
+    def posteriors(self, emissions: list[np.ndarray], pairs: np.ndarray | None = None) -> list[np.ndarray]:
+        """Probabilities of the languages of each word of each text, by forward-backward over texts of like length.
+
+        ``pairs``: array to which the expected number of each transition is added.
+        """
         out: list[np.ndarray | None] = [None] * len(emissions)
         order = sorted(range(len(emissions)), key=lambda i: len(emissions[i]))
         at = 0
@@ -150,11 +153,11 @@ class Field:
             while at < len(order) and len(chunk) < 256 and (len(emissions[order[at]]) <= max(8, most * 1.3)):
                 chunk.append(order[at])
                 at += 1
-            for i, p in zip(chunk, self._batch([emissions[i] for i in chunk]), strict=True):
+            for i, p in zip(chunk, self._batch([emissions[i] for i in chunk], pairs), strict=True):
                 out[i] = p
         return out
 
-    def _batch(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
+    def _batch(self, emissions: list[np.ndarray], pairs: np.ndarray | None = None) -> list[np.ndarray]:
         n = np.array([len(e) for e in emissions])
         b, t, k = len(emissions), max(int(n.max()), 1), len(LANGS)
         x = np.zeros((b, t, k))
@@ -173,6 +176,11 @@ class Field:
             step = (bw[:, j + 1] * x[:, j + 1]) @ m.T
             step /= step.sum(axis=1, keepdims=True)
             bw[:, j] = np.where((j + 1 < n)[:, None], step, 1.0)
+        if pairs is not None and t > 1:
+            # Forward * transition * emission * backward, scaled to 1 for each pair of neighbouring words.
+            right = x[:, 1:] * bw[:, 1:]
+            scale = (np.arange(1, t)[None] < n[:, None]) / ((fw[:, :-1] @ m) * right).sum(axis=2)
+            pairs += m * ((fw[:, :-1] * scale[..., None]).reshape(-1, k).T @ right.reshape(-1, k))
         p = fw * bw
         p /= p.sum(axis=2, keepdims=True)
         return [p[i, : n[i]] for i in range(b)]
@@ -207,20 +215,14 @@ def train(sequences: list[tuple[list[str], np.ndarray]], epochs: int = 6, rate:
             where = np.split(local, cut)
             labels = [sequences[i][1] for i in part]
             emissions = [scores[w] for w in where]
-            post = f.posteriors(emissions)
             errors = []
             dt, ds = np.zeros((k, k)), np.zeros(k)
-            m = np.exp(f.trans)
+            post = f.posteriors(emissions, dt)
             for y, p in zip(labels, post, strict=True):
                 g = p.copy()
                 g[np.arange(len(y)), y] -= 1.0
                 errors.append(g)
-                if len(y) > 1:
-                    # Pair probabilities from the neighbours' own ones under the transitions: exact where words are certain.
-                    pair = p[:-1, :, None] * m[None] * p[1:, None, :]
-                    pair /= pair.sum(axis=(1, 2), keepdims=True)
-                    dt += pair.sum(axis=0)
-                    np.add.at(dt, (y[:-1], y[1:]), -1.0)
+                np.add.at(dt, (y[:-1], y[1:]), -1.0)
                 ds += p[0]
                 ds[y[0]] -= 1.0
             touched, at = np.unique(rows, return_inverse=True)

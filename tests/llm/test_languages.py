@@ -69,6 +69,23 @@ def test_training_takes_all_its_passes(monkeypatch):
     assert sum(passes) == 6 * 10
 
 
+def test_expected_transitions_against_enumeration():
+    rng = np.random.default_rng(6)
+    k = len(L.LANGS)
+    f = L.Field(np.zeros((1, k)), rng.normal(size=(k, k)), rng.normal(size=k))
+    es, want, got = [rng.normal(size=(t, k)) for t in (1, 2, 3, 3)], np.zeros((k, k)), np.zeros((k, k))
+    for e in es[1:]:
+        score = f.start + e[0]
+        for row in e[1:]:
+            score = score[..., None] + f.trans + row
+        p = np.exp(score - score.max())
+        p /= p.sum()
+        for j in range(len(e) - 1):
+            want += p.sum(axis=tuple(i for i in range(len(e)) if i not in (j, j + 1)))
+    f.posteriors(es, got)
+    assert np.allclose(got, want)
+
+
 def test_sums_of_rows():
     rng = np.random.default_rng(4)
     at, rows, want = rng.integers(0, 5, 40), rng.normal(size=(40, 8)), np.zeros((7, 8))
