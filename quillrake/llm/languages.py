@@ -3,13 +3,15 @@
 Features of a word are its affixes, character n-grams, script and itself (the lexicon), hashed; the transitions between
 the languages of neighbouring words are learned too. It is trained on a bounded sample of rows with declared labels,
 whose stretches are first relabelled by vote, as some labels are wrong and some texts are mixed.
-Forward-backward gives each word's language probabilities; a segment takes the language that its words favour.
+Forward-backward gives each word's language probabilities; a segment takes the language that its words favour. Segments
+end at punctuation, and without it where runs of words are surely of different languages.
 """
 
 from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import re
 import unicodedata
 import zlib
@@ -44,6 +46,9 @@ FEATURES, ROWS_PER_LANGUAGE = 1 << 16, 1200
 #: Stretches of one or two words need this confidence to be in another language than the stretch beside them.
 SURE = 0.75
 
+#: Inside a stretch another language begins only where runs of so many words, of this mean confidence, differ.
+RUN, CERTAIN = 3, 0.9
+
 _MARKS = "̀-ͯ҃-҇ऀ-ःऺ-ॏ॑-ॗॢॣ‌‍"
 _WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}]|['’](?=[^\W\d_]))*")
 #: Where one stretch of text may end and another, in another language, begin.
@@ -103,7 +108,7 @@ def _hash(kind: str, s: str) -> int:
 def features(word: str) -> list[int]:
     """Hashed features of a word: itself, affixes, character n-grams, script and shape."""
     w = word.lower()
-    e = f"^{w[:40]}$"
+    e = f"^{w}$"
     out = [_hash("w", w), _hash("len", str(min(len(w), 12)))]
     out += [_hash("p", w[:k]) for k in (1, 2, 3, 4) if len(w) >= k] + [_hash("s", w[-k:]) for k in (1, 2, 3, 4) if len(w) >= k]
     out += [_hash("n", e[i : i + k]) for k in (2, 3, 4) for i in range(len(e) - k + 1)]
@@ -236,6 +241,34 @@ def train(sequences: list[tuple[list[str], np.ndarray]], epochs: int = 6, rate:
     return f
 
 
+def _turns(p: np.ndarray) -> list[int]:
+    """Words of a stretch at which another language begins, from the words' probabilities."""
+    top = p.argmax(axis=1)
+    ends = [0, *(np.flatnonzero(np.diff(top)) + 1).tolist(), len(top)]
+    runs = [(a, b, top[a]) for a, b in itertools.pairwise(ends) if b - a >= RUN and p[a:b, top[a]].mean() >= CERTAIN]
+    out = []
+    for (_, b, x), (c, _, y) in itertools.pairwise(runs):
+        if x != y:  # words between the two runs go where they fit better
+            out.append(b + int(np.concatenate([[0.0], np.cumsum(p[b:c, x] - p[b:c, y])]).argmax()))
+    return out
+
+
+def _cut_at_turns(text: str, begins: list[int], p: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches of a text, cut where the language of their words turns without a mark; ``begins``: of the words."""
+    whole = stretches(text)
+    top = p.argmax(axis=1)
+    if not len(top) or (top == top[0]).all():
+        return whole
+    out = []
+    for a, b in whole:
+        first, end = bisect.bisect_left(begins, a), bisect.bisect_left(begins, b)
+        for k in _turns(p[first:end]) if end - first >= 2 * RUN else []:
+            out.append((a, a + len(text[a : begins[first + k]].rstrip())))
+            a = begins[first + k]
+        out.append((a, b))
+    return out
+
+
 def read(f: Field, texts: list[str]) -> list[list[tuple[int, int, str | None, float]]]:
     """Of each text its stretches: (from, to, language, confidence), in the tidied text; a stretch without words has no language."""
     tidied = [tidy(t) for t in texts]
@@ -245,7 +278,7 @@ def read(f: Field, texts: list[str]) -> list[list[tuple[int, int, str | None, fl
     for t, ws, p in zip(tidied, words, post, strict=True):
         k, rows, held = 0, [], []
         begins = [m.start() for m in ws]
-        for a, b in stretches(t):
+        for a, b in _cut_at_turns(t, begins, p):
             first = k
             k = bisect.bisect_left(begins, b, k)
             if k > first:

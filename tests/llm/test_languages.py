@@ -47,6 +47,26 @@ def test_held_out_accuracy(model):
     assert good / n > 0.97
 
 
+def test_languages_change_without_a_stop(model):
+    rng = random.Random(7)
+    good = n = 0
+    for a in L.LANGS:
+        for b in L.LANGS:
+            if a != b:
+                x, y = rng.choice(SENTENCES[a]), rng.choice(SENTENCES[b])
+                for sep in (" ", ", "):
+                    got = [r[2] for r in L.read(model, [x + sep + y])[0] if r[2]]
+                    good += got == [a, b]
+                    n += 1
+    assert good / n > 0.9
+    assert [[(r[0], r[1]) for r in rows] for rows in L.read(model, ["The mayor opens the new bridge, Мэр открывает новый мост"])] == [[(0, 31), (32, 56)]]
+
+
+def test_features_of_the_whole_word():
+    assert L.features("a" * 45 + "bcd" + "e" * 10) != L.features("a" * 45 + "xyz" + "e" * 10)
+    assert set(L.features("a" * 45 + "bcd" + "e" * 10)) >= {L._hash("n", "bcd")}
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(1)
     k = len(L.LANGS)
