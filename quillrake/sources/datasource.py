@@ -18,7 +18,7 @@ class FeedError(RuntimeError):
     """A provider's feed can't be read as a whole."""
 
 
-def read_feed(url: str, get: Callable[[str], tuple[int | None, bytes | str | None, str | None]], depth: int = 50) -> Iterator[dict]:
+def read_feed(url: str, get: Callable[[str], tuple[int | None, bytes | str | None, str | None]]) -> Iterator[dict]:
     """Entries of a feed, nested documents in the order of their index; each document is read once.
 
     A failed or malformed document, or a feed without entries, raises.
@@ -26,11 +26,11 @@ def read_feed(url: str, get: Callable[[str], tuple[int | None, bytes | str | Non
     seen: set[str] = set()
     found = 0
 
-    def walk(at: str, level: int) -> Iterator[dict]:
+    waiting = [url]
+    while waiting:
+        at = waiting.pop()
         if at in seen:
-            return
-        if level > depth:
-            raise FeedError("sitemaps are nested too deeply")
+            continue
         seen.add(at)
         status, body, error = get(at)
         if error or status != 200:
@@ -38,15 +38,11 @@ def read_feed(url: str, get: Callable[[str], tuple[int | None, bytes | str | Non
         doc = parse_sitemap(body)
         if doc["error"]:
             raise FeedError(doc["error"])
-        if doc["entries"]:
-            yield from doc["entries"]
-            return
-        for nested in doc["nested"]:
-            yield from walk(nested, level + 1)
-
-    for entry in walk(url, 0):
-        found += bool((entry["loc"] or "").strip())
-        yield entry
+        for entry in doc["entries"]:
+            found += bool((entry["loc"] or "").strip())
+            yield entry
+        if not doc["entries"]:
+            waiting.extend(reversed(doc["nested"]))
     if not found:
         raise FeedError("sitemap returned no records")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import urllib.error
 import urllib.request
 import xml.etree.ElementTree as ET
@@ -104,20 +105,20 @@ def http_get(url: str, headers: dict | None, timeout: float = TIMEOUT_S, opener:
         return None, None, f"{type(e).__name__}: {e}"
 
 
-def traverse(providers: DataFrame, fetch: Fetch, depth: int = 50) -> tuple[DataFrame, DataFrame]:
+def traverse(providers: DataFrame, fetch: Fetch) -> tuple[DataFrame, DataFrame]:
     """Entries of all providers' sitemaps, whose indexes may be nested, and the providers' errors.
 
     Returns entries (provider_id, feed_path, feed_pos, loc, news, image) in bag semantics and errors (provider_id,
     error). A document with entries is a leaf, whatever else it holds. A document is read once per provider, so cycles
     end. Any failed or malformed document, and a feed without entries, makes its provider an error without entries.
-    Level by level: the driver runs one job per level of nesting (``depth`` at most, beyond it an error).
+    Level by level: the driver runs one job per level of nesting, however many there are.
     """
     spark, root = providers.sparkSession, workdir(providers.sparkSession, "feeds")
     p = sanitize_providers(providers)
     start = p.select(F.col("id").alias("provider_id"), F.col("source_url").alias("url"), F.lit("").alias("path"), request_headers().alias("headers"))
     bad = start.filter("url = ''").select("provider_id", F.concat(F.lit("source_url of provider "), "provider_id", F.lit(" is empty")).alias("error"))
     frontier, visited, leaves, errors = start.filter("url <> ''"), None, [], [bad]
-    for level in range(depth):
+    for level in itertools.count():
         got = fetch(frontier)
         wrong = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("status") != 200, F.concat(F.lit("status "), F.col("status"), F.lit(": "), feed_snippet(F.make_valid_utf8(F.col("body").cast("string")))))
         got = got.select("provider_id", "url", "path", "headers", wrong.alias("failed"), F.when(wrong.isNull(), F.col("body")).alias("body"))
@@ -134,8 +135,6 @@ def traverse(providers: DataFrame, fetch: Fetch, depth: int = 50) -> tuple[DataF
         frontier = written(links.join(visited, ["provider_id", "url"], "left_anti").select("provider_id", "url", "path", "headers"), f"{root}/frontier-{level}")
         if frontier.isEmpty():
             break
-    else:
-        errors.append(frontier.select("provider_id", F.lit("sitemaps are nested too deeply").alias("error")))
     entries = leaves[0]
     for x in leaves[1:]:
         entries = entries.unionByName(x)

@@ -119,3 +119,10 @@ def test_logs():
     log.error("yes", extra={"key": "k", "obj": {"n": 1}})
     assert json.loads(out.getvalue())["k"] == {"n": 1} and logs.level_of("?") == logging.INFO
     assert not logs.silent().propagate
+
+
+def test_deeply_nested_feeds_are_read_to_their_end():
+    index = '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>{}</loc></sitemap></sitemapindex>'
+    leaf = LEAF.format("<url><loc>http://x/a</loc></url>")
+    get = lambda url: (200, leaf if url == "2000" else index.format(int(url) + 1), None)
+    assert [e["loc"] for e in DS.read_feed("0", get)] == ["http://x/a"]
