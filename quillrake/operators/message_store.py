@@ -136,25 +136,26 @@ class MessageStore:
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of ``harvest_events`` with the message's identifier: provider, article id and instant of collection."""
     e = spark.read.parquet(f"{sf_dir}/harvest_events.parquet")
-    e = e.withColumn("article_id", F.col("article.id")).withColumn("receipt_period", F.date_format("received_at", "yyyy-MM"))
+    e = e.withColumn("article_id", F.col("article.id")).withColumn("receipt_period", F.date_format(F.date_trunc("week", "received_at"), "yyyy-MM-dd"))
     read = with_instants(e, "collected_at", spark.read.parquet(f"{sf_dir}/providers.parquet"))
     return read.withColumnRenamed("utc_ms", "collected_ms").drop("moment_status")
 
 
-def replay(spark: SparkSession, sf_dir: str, batches: int = 2, columns: tuple[str, ...] = ()) -> MessageStore:
+def replay(spark: SparkSession, sf_dir: str, batches: int = 4, columns: tuple[str, ...] = ()) -> MessageStore:
     """Take all of ``harvest_events`` into a fresh store, as ``batches`` batches of receipt cycles of equal number.
 
-    ``columns``: what is stored of a message beside its identifier, order and period.
+    Rows without a cycle come with the last batch. ``columns``: what is stored of a message beside its identifier, order and period.
     """
     store = MessageStore(spark, workdir(spark, "messages"), ("provider_id", "article_id", "collected_ms"), "delivery_id", "receipt_period")
     rows = deliveries(spark, sf_dir)
     lo, hi = spark.read.parquet(f"{sf_dir}/harvest_events.parquet").agg(F.min("batch_no"), F.max("batch_no")).first()
     names = [*store.key, store.order, store.part, *columns]
-    if lo is None:
-        return store
-    edges = [lo + (hi + 1 - lo) * i // batches for i in range(batches + 1)]
-    for a, b in zip(edges, edges[1:], strict=False):
-        store.ingest(rows.filter((F.col("batch_no") >= a) & (F.col("batch_no") < b)).select(*dict.fromkeys(names)))
+    edges = [] if lo is None else [lo + (hi + 1 - lo) * i // batches for i in range(1, batches)]
+    cycle = F.col("batch_no")
+    number = sum([(cycle >= x).cast("int") for x in edges], F.lit(0))
+    number = F.when(cycle.isNull(), len(edges)).otherwise(number)
+    for k in range(len(edges) + 1):
+        store.ingest(rows.filter(number == k).select(*dict.fromkeys(names)))
     return store
 
 

@@ -30,3 +30,13 @@ def test_repeats_against_a_window(spark):
     assert {r.delivery_id for r in QUERIES["p2_found"](spark, SF).collect()} == want
     kept = QUERIES["p2_messages"](spark, SF)
     assert kept.count() == spark.read.parquet(f"{SF}/harvest_events.parquet").count() - len(want)
+
+
+@pytest.mark.parametrize("missing", ["delivery_id % 3 = 0", "true"])
+def test_deliveries_without_a_cycle_are_messages_too(spark, tmp_path, missing):
+    e = spark.read.parquet(f"{SF}/harvest_events.parquet")
+    e.withColumn("batch_no", F.when(~F.expr(missing), F.col("batch_no"))).write.parquet(f"{tmp_path}/harvest_events.parquet")
+    spark.read.parquet(f"{SF}/providers.parquet").write.parquet(f"{tmp_path}/providers.parquet")
+    store = message_store.replay(spark, str(tmp_path))
+    kept, lost = ([r.delivery_id for r in df.collect()] for df in (store.messages(), store.dropped()))
+    assert sorted(kept + lost) == sorted(r.delivery_id for r in e.select("delivery_id").collect())
