@@ -128,11 +128,8 @@ class Reader:
 
     def _read(self, w: str, lean: str) -> str:
         """Viterbi over letters; the lattice of a letter is its set of look-alikes in a fixed order."""
-        if len(w) > 200 or not any(c in _CLASS for c in w):  # no word: the first letter of each set stands for it
-            return "".join(_CLASS.get(c, c)[0] for c in w)
-        anchors = [s for s, only in _ONLY.items() if only.search(w)]
-        if len(anchors) == 1 and not _FOREIGN[anchors[0]].search(w):
-            return w.translate(_INTO[anchors[0]])  # letters that one script alone has leave one path without changes
+        if not any(c in _CLASS for c in w):
+            return w
         begin = {s: self.prior[s] + (LEAN if s == lean else 0.0) for s in SCRIPTS}
         paths: dict[str, tuple[float, str]] | None = None  # last letter: (score, path)
         for c in w:
@@ -169,9 +166,6 @@ class Reader:
 _RANGES = {"LATIN": (0x41, 0x250), "CYRILLIC": (0x400, 0x530), "GREEK": (0x370, 0x400)}
 _ONLY = {s: re.compile("[" + "".join(c for c in map(chr, range(*r)) if c.isalpha() and c not in _CLASS) + "]") for s, r in _RANGES.items()}
 _LATIN_ONLY, _CYRILLIC_ONLY = _ONLY["LATIN"], _ONLY["CYRILLIC"]
-#: Of each script: letters that have no form in it though they have look-alikes, and the form of those that do.
-_FOREIGN = {s: re.compile("[" + "".join(c for c, g in _CLASS.items() if all(script_of(x) != s for x in g)) + "\0]") for s in SCRIPTS}
-_INTO = {s: str.maketrans({c: next(x for x in g if script_of(x) == s) for c, g in _CLASS.items() if any(script_of(x) == s for x in g)}) for s in SCRIPTS}
 _WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 
 

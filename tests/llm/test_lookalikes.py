@@ -36,6 +36,32 @@ def test_form_depends_on_the_look_only():
         assert unicodedata.is_normalized("NFC", r.text(word))
 
 
+def test_long_words_are_searched():
+    word = "городacxo" * 30
+    assert reader().text(word) == "городасхо" * 30
+
+
+def test_a_change_of_script_at_a_words_edge_is_searched():
+    texts = Counter(["оооооо"] * 500 + ["bed"] * 5)
+    r = L.Reader(L.pair_counts(texts))
+    best, search = L.Reader(L.pair_counts(texts)), {}
+    for w in ("оооооооооb", "boooooooooo"):
+        forms = [w.translate({ord("о"): "o"}), w.replace("o", "о")]
+        search[w] = max(forms, key=lambda f: score(best, f, "CYRILLIC"))
+        assert r._read(w, "CYRILLIC") == search[w]
+    assert any("о" in f for f in search.values())  # Cyrillic beside the Latin letter
+
+
+def score(r, word, lean):
+    begin = {s: r.prior[s] + (L.LEAN if s == lean else 0.0) for s in L.SCRIPTS}
+    s = L.script_of(word[0])
+    out = begin[s] + r.pair(s, L._START, word[0])
+    for a, b in zip(word, word[1:], strict=False):
+        s, t = L.script_of(a), L.script_of(b)
+        out += r.pair(t, a, b) if s == t else begin[t] - L.SWITCH + r.pair(t, L._START, b)
+    return out
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "row_id long, field string, value string, form string")
 
