@@ -11,20 +11,24 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import BROADCAST_LIMIT_BYTES, delete_path, workdir, written
+from ..session import BROADCAST_LIMIT_BYTES, delete_path, exclusive, hadoop_path, read_json, replace_json, workdir, written
 from .moments import with_instants
 
 
 @dataclass
 class MessageStore:
-    """A store below ``root`` (a path on the shared file system).
+    """A store below ``root`` (a path on the shared file system), with one writer at a time and any number of readers.
 
     ``key``: the columns that identify a message; a row with NULL in one of them equals no other and is kept.
     ``order``: a column without repeats; of equal messages the one with the smallest value wins, whenever it comes.
     ``part``: the string column that says in which partition a message lies; NULL is a partition of its own.
+    ``buckets``: parts of the index, by hash; some million identifiers each. A batch opens those of its identifiers.
+    ``index_files``: batches whose index entries lie side by side; more are merged into one.
+    ``keep``: batches for which replaced files stay, for readers that opened an older manifest.
     """
 
     spark: SparkSession
@@ -32,48 +36,29 @@ class MessageStore:
     key: tuple[str, ...]
     order: str
     part: str
+    buckets: int = 16
+    index_files: int = 8
+    keep: int = 2
     state: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        path = self._fs_path(f"{self.root}/manifest.json")
-        fs = self._fs(path)
-        self.state = {"batch": 0, "parts": {}, "index": [], "dropped": []}
-        if fs.exists(path):
-            stream = fs.open(path)
-            try:
-                self.state = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            finally:
-                stream.close()
-
-    def _fs_path(self, path: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self, path):
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _commit(self, state: dict) -> None:
-        jvm = self.spark.sparkContext._jvm
-        new, final = self._fs_path(f"{self.root}/manifest.new"), self._fs_path(f"{self.root}/manifest.json")
-        fs = self._fs(new)
-        out = fs.create(new, True)
-        try:
-            out.write(bytearray(json.dumps(state).encode()))
-        finally:
-            out.close()
-        uri = final.toUri() if final.toUri().getScheme() else fs.makeQualified(final).toUri()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(new), fs.makeQualified(final), options)
-        self.state = state
+        empty = {"batch": 0, "buckets": self.buckets, "parts": {}, "index": {}, "dropped": [], "retired": []}
+        self.state = read_json(self.spark, f"{self.root}/manifest.json") or empty
 
-    def _key_hash(self):
+    def _key_hash(self) -> Column:
         return F.xxhash64(*[F.col(k).cast("string") for k in self.key])
 
+    def _bucket(self) -> Column:
+        return F.pmod("key_hash", F.lit(self.state["buckets"])).cast("int")
+
     def messages(self) -> DataFrame | None:
         """The winners; None while the store is empty."""
         paths = sorted({p for versions in self.state["parts"].values() for p in versions})
-        return self.spark.read.parquet(*paths) if paths else None
+        return self._read(paths)
+
+    def _read(self, paths: list[str]) -> DataFrame | None:
+        # Files have the columns of their batch; the schema is that of the latest one and saves a look into each.
+        return self.spark.read.schema(T.StructType.fromJson(self.state["schema"])).parquet(*paths) if paths else None
 
     def dropped(self) -> DataFrame:
         """The copies that lost: (order column, partition column, batch that dropped them)."""
@@ -82,29 +67,67 @@ class MessageStore:
             return self.spark.read.parquet(*paths)
         return self.spark.createDataFrame([], f"{self.order} bigint, batch bigint")
 
+    def _written_by(self, rows: DataFrame, column: str, path: str) -> dict[str, str]:
+        """Write rows to one folder per value of a column; the folders by value, NULL as '' and others after '='.
+
+        Small values share a task and large ones are split, so a folder has few files however its rows are spread.
+        """
+        rows.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)
+        at, fs = hadoop_path(self.spark, path)
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        found = {n: n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}=")}
+        return {"" if v == "__HIVE_DEFAULT_PARTITION__" else f"={v}": f"{path}/{n}" for n, v in found.items()}
+
+    def index_paths(self, ids: DataFrame) -> list[str]:
+        """Folders of the index in which ids (key_hash) may be."""
+        hit = ids.select(self._bucket().alias("b")).distinct().collect()  # as many rows as buckets at most
+        return sorted(p for r in hit for p in self.state["index"].get(f"={r.b}", []))
+
+    def _affected(self, ids: DataFrame) -> list[str]:
+        """Partitions that may hold a message of ids (key_hash). The index isn't shuffled while the ids can be broadcast."""
+        paths = self.index_paths(ids)
+        if not paths:
+            return []
+        index = self.spark.read.schema(f"key_hash bigint, `{self.part}` string").parquet(*paths)
+        ids = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_LIMIT_BYTES else ids
+        hits = index.join(ids, "key_hash", "left_semi").select(self.part).distinct()
+        return sorted("" if r[0] is None else f"={r[0]}" for r in hits.collect())  # partitions: a bounded number
+
+    def _merged_index(self, state: dict, n: int) -> None:
+        """Merge the index's folders where too many lie side by side."""
+        if max((len(p) for p in state["index"].values()), default=0) <= self.index_files:
+            return
+        old = [p for paths in state["index"].values() for p in paths]
+        rows = self.spark.read.schema(f"key_hash bigint, `{self.part}` string").parquet(*old).distinct()
+        found = self._written_by(rows.withColumn("qr_bucket", self._bucket()), "qr_bucket", f"{self.root}/index/merged-{n}")
+        state["index"] = {b: [p] for b, p in found.items()}
+        state["retired"] += [[n, p] for p in old]
+
     def ingest(self, batch: DataFrame) -> list[str]:
         """Take a batch in; returns the partitions that had versions before and were rewritten.
 
-        Shuffles keys and index rows only. The messages themselves are filtered by the ids of the losers, which are
-        broadcast while their counted size allows it and joined by a shuffle beyond that.
+        Keys are shuffled, and the rows that are written are gathered by partition. The messages themselves are
+        filtered by the ids of the losers, which are broadcast while their counted size allows it and joined by a
+        shuffle beyond that. Fails if another writer is at work. A batch that fails leaves the store as it was.
         """
+        with exclusive(self.spark, f"{self.root}/writer.lock"):
+            return self._ingest(batch)
+
+    def _ingest(self, batch: DataFrame) -> list[str]:
         n = self.state["batch"] + 1
         landed = f"{self.root}/incoming/batch-{n}"
         batch = written(batch, landed)  # read several times below
         keyed = F.lit(True)
         for k in self.key:
             keyed = keyed & F.col(k).isNotNull()
-        # A hot message collapses in the map-side half of this aggregate.
-        ids = batch.filter(keyed).groupBy(*self.key).agg(F.min(self.order).alias(self.order))
-        affected: list[str] = []
-        if self.state["index"]:
-            index = self.spark.read.parquet(*self.state["index"])
-            hits = ids.select(self._key_hash().alias("key_hash")).join(index, "key_hash").select(self.part).distinct()
-            affected = sorted("" if r[0] is None else f"={r[0]}" for r in hits.collect())  # partitions: a bounded number
+        index_rows = batch.filter(keyed).select(self._key_hash().alias("key_hash"), self.part).distinct()
+        index_rows = written(index_rows, f"{self.root}/incoming/index-{n}")
+        affected = self._affected(index_rows.select("key_hash").distinct()) if self.state["index"] else []
         old_paths = sorted({p for a in affected for p in self.state["parts"].get(a, [])})
-        old = self.spark.read.parquet(*old_paths) if old_paths else None
-        rows = batch if old is None else batch.unionByName(old)
+        old = self._read(old_paths)
+        rows = batch if old is None else batch.unionByName(old, allowMissingColumns=True)
         keys = rows.filter(keyed).select(*self.key, self.order)
+        # A hot message collapses in the map-side half of this aggregate.
         winners = keys.groupBy(*self.key).agg(F.min(self.order).alias(self.order))
         losers = keys.select(self.order).join(winners.select(self.order), self.order, "left_anti")
         lost_path = f"{self.root}/dropped/batch-{n}"
@@ -112,23 +135,20 @@ class MessageStore:
         lost = self.spark.read.parquet(lost_path).select(self.order)
         lost = F.broadcast(lost) if lost.count() * 16 <= BROADCAST_LIMIT_BYTES else lost
         # Rows of the affected partitions that lie in them go to new versions; every other partition is only added to.
-        kept = rows.join(lost, self.order, "left_anti")
-        new_path = f"{self.root}/data/batch-{n}"
-        kept.withColumn("qr_part", F.col(self.part)).write.mode("overwrite").partitionBy("qr_part").parquet(new_path)
+        kept = rows.join(lost, self.order, "left_anti").withColumn("qr_part", F.col(self.part))
         state = json.loads(json.dumps(self.state))
-        replaced = [p for a in affected for p in state["parts"].pop(a, [])]
-        fs = self._fs(self._fs_path(new_path))
-        for status in fs.listStatus(self._fs_path(new_path)):
-            name = status.getPath().getName()
-            if name.startswith("qr_part="):
-                value = name.removeprefix("qr_part=")
-                label = "" if value == "__HIVE_DEFAULT_PARTITION__" else f"={value}"
-                state["parts"].setdefault(label, []).append(f"{new_path}/{name}")
-        index_path = f"{self.root}/index/batch-{n}"
-        batch.filter(keyed).select(self._key_hash().alias("key_hash"), self.part).distinct().write.mode("overwrite").parquet(index_path)
-        state |= {"batch": n, "index": [*state["index"], index_path], "dropped": [*state["dropped"], lost_path]}
-        self._commit(state)
-        for path in [*replaced, landed]:
+        state["retired"] += [[n, p] for a in affected for p in state["parts"].pop(a, [])]
+        for label, path in self._written_by(kept, "qr_part", f"{self.root}/data/batch-{n}").items():
+            state["parts"].setdefault(label, []).append(path)
+        for label, path in self._written_by(index_rows.withColumn("qr_bucket", self._bucket()), "qr_bucket", f"{self.root}/index/batch-{n}").items():
+            state["index"].setdefault(label, []).append(path)
+        self._merged_index(state, n)
+        state |= {"batch": n, "schema": rows.schema.jsonValue(), "dropped": [*state["dropped"], lost_path]}
+        gone = [p for at, p in state["retired"] if at <= n - self.keep]
+        state["retired"] = [[at, p] for at, p in state["retired"] if at > n - self.keep]
+        replace_json(self.spark, f"{self.root}/manifest.json", state)
+        self.state = state
+        for path in [*gone, landed, f"{self.root}/incoming/index-{n}"]:
             delete_path(self.spark, path)
         return [a for a in affected if a.removeprefix("=")]
 
@@ -136,7 +156,7 @@ class MessageStore:
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of ``harvest_events`` with the message's identifier: provider, article id and instant of collection."""
     e = spark.read.parquet(f"{sf_dir}/harvest_events.parquet")
-    e = e.withColumn("article_id", F.col("article.id")).withColumn("receipt_period", F.date_format(F.date_trunc("week", "received_at"), "yyyy-MM-dd"))
+    e = e.withColumn("article_id", F.col("article.id")).withColumn("receipt_period", F.date_format(F.date_trunc("day", "received_at"), "yyyy-MM-dd"))
     read = with_instants(e, "collected_at", spark.read.parquet(f"{sf_dir}/providers.parquet"))
     return read.withColumnRenamed("utc_ms", "collected_ms").drop("moment_status")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +60,60 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
+    target, fs = hadoop_path(spark, path)
+    fs.delete(target, True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path of the session's file systems, and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """A JSON file of a file system; None if there is none."""
+    p, fs = hadoop_path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def replace_json(spark: SparkSession, path: str, document: dict) -> None:
+    """Put a JSON file in the place of the one at ``path``, if any, at once: readers see the old one or the new one."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    (new, fs), (final, _) = hadoop_path(spark, f"{path}.new"), hadoop_path(spark, path)
+    out = fs.create(new, True)
+    try:
+        out.write(bytearray(json.dumps(document).encode()))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(final).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(new), fs.makeQualified(final), options)
+
+
+@contextlib.contextmanager
+def exclusive(spark: SparkSession, path: str) -> Iterator[None]:
+    """Hold the file ``path`` as a lock; fails at once if another process holds it.
+
+    A holder that died leaves its file, which names it: to be deleted by hand once that process is known to be gone.
+    """
+    p, fs = hadoop_path(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        raise RuntimeError(f"{path} is held by another writer") from e
+    try:
+        out.write(bytearray(spark.sparkContext.applicationId.encode()))
+        out.close()
+        yield
+    finally:
+        fs.delete(p, False)
 
 
 def ship(spark: SparkSession) -> None:
@@ -78,6 +132,5 @@ def ship(spark: SparkSession) -> None:
 
 def is_directory(spark: SparkSession, path: str) -> bool:
     """Whether a path of the session's file system is a folder."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p, fs = hadoop_path(spark, path)
     return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())

@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 from quillrake.operators.message_store import MessageStore
-from quillrake.session import workdir
+from quillrake.session import exclusive, workdir
 
 SCHEMA = "delivery_id long, source string, message string, period string, body string"
 
@@ -61,3 +63,42 @@ def test_empty_batches_and_extra_columns(spark):
     s.ingest(spark.createDataFrame([(1, "a", "x" * 100_000, "p", "", "k"), (2, "a", "x" * 100_000, "p", "", "k")], SCHEMA + ", key_hash string"))
     s.ingest(spark.createDataFrame([], SCHEMA + ", key_hash string"))
     assert [r.delivery_id for r in s.messages().collect()] == [1]
+
+
+def test_a_reader_of_the_old_manifest_still_reads(spark):
+    s = store(spark)
+    s.ingest(spark.createDataFrame([(10, "a", "x", "p1", "v"), (11, "a", "y", "p1", "v")], SCHEMA))
+    reader = MessageStore(spark, s.root, s.key, s.order, s.part)
+    s.ingest(spark.createDataFrame([(4, "a", "x", "p1", "w")], SCHEMA))
+    assert sorted(r.delivery_id for r in reader.messages().collect()) == [10, 11]
+    for k in range(3):  # the replaced files go some batches later
+        s.ingest(spark.createDataFrame([(20 + k, "a", f"z{k}", "p9", "")], SCHEMA))
+    assert not s.state["retired"] and sorted(r.delivery_id for r in s.messages().collect()) == [4, 11, 20, 21, 22]
+
+
+def test_a_batch_opens_the_index_buckets_it_needs(spark):
+    s = store(spark)
+    s.ingest(spark.createDataFrame([(i, "a", f"m{i}", f"p{i % 3}", "") for i in range(300)], SCHEMA))
+    assert len(s.state["index"]) == s.buckets
+    one = spark.createDataFrame([(999, "a", "m7", "p", "")], SCHEMA).select(s._key_hash().alias("key_hash"))
+    assert len(s.index_paths(one)) == 1
+    assert s.ingest(spark.createDataFrame([(999, "a", "m7", "p", "")], SCHEMA)) == ["=p1"]
+
+
+def test_the_index_is_merged(spark):
+    s = store(spark)
+    s.index_files = 2
+    for k in range(5):
+        s.ingest(spark.createDataFrame([(k, "a", "x", f"p{k}", ""), (100 + k, "a", f"y{k}", f"p{k}", "")], SCHEMA))
+        assert max(map(len, s.state["index"].values())) <= 2
+    assert sorted(r.delivery_id for r in s.messages().collect()) == [0, 100, 101, 102, 103, 104]
+    assert sorted(r.delivery_id for r in s.dropped().collect()) == [1, 2, 3, 4]
+
+
+def test_one_writer_at_a_time(spark):
+    s = store(spark)
+    s.ingest(spark.createDataFrame([(1, "a", "x", "p", "")], SCHEMA))
+    with exclusive(spark, f"{s.root}/writer.lock"), pytest.raises(RuntimeError, match="another writer"):
+        s.ingest(spark.createDataFrame([(2, "a", "y", "p", "")], SCHEMA))
+    s.ingest(spark.createDataFrame([(2, "a", "y", "p", "")], SCHEMA))
+    assert s.messages().count() == 2
