@@ -11,6 +11,7 @@ QUERIES = {
     "p3_forms": lookalikes.p3_forms,
     "p4_found": seen_keys.p4_found,
     "p4_errors": seen_keys.p4_errors,
+    "p4_counts": seen_keys.p4_counts,
     "p7_found": truncation.p7_found,
     "p7_shares": truncation.p7_shares,
     "p8_assignments": containers.p8_assignments,
@@ -21,4 +22,4 @@ QUERIES = {
     "p10_levels": reading_level.p10_levels,
 }
 
-ORACLES = {"p4_found": seen_keys.P4_SQL}
+ORACLES = {"p4_found": seen_keys.P4_SQL, "p4_counts": seen_keys.P4_COUNTS_SQL}
