@@ -89,7 +89,7 @@ class MessageStore:
         if not paths:
             return []
         index = self.spark.read.schema(f"key_hash bigint, `{self.part}` string").parquet(*paths)
-        ids = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_LIMIT_BYTES else ids
+        ids = F.broadcast(ids) if ids.count() * 64 <= BROADCAST_LIMIT_BYTES else ids  # a hash table's entry takes some 50 bytes
         hits = index.join(ids, "key_hash", "left_semi").select(self.part).distinct()
         return sorted("" if r[0] is None else f"={r[0]}" for r in hits.collect())  # partitions: a bounded number
 

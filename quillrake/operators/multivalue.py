@@ -1,35 +1,52 @@
 """Several values packed in one text, split into one value per row.
 
-Quoted spans are atomic. Commas, semicolons, bars, bullets, tabs and line ends separate wherever they stand outside of
-quotes. Slashes, hyphens, ampersands and plus signs may separate or belong to a value: for each distinct stretch that
-holds some, a lattice of all its cuts is scored with value frequencies of the whole column and with the share of each
-written form of a delimiter that separates. Both are learned by expectation maximisation (forward-backward over the
-lattices); Viterbi then picks the cuts.
+A text is a lattice over the stretches between its delimiters. Any delimiter may separate or belong to a value: how
+often each written form of it separates, and how frequent each value is, are learned from the whole column by
+expectation maximisation (forward-backward over the lattices of all distinct texts). Viterbi then picks the cuts.
+Quoted spans are atomic.
+
+A value that other texts hold too scores its frequency there; any other one is spelled letter by letter. Spelled values
+of any length are followed by one state of the chain, so no value is too long for the lattice.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import utrim
-from ..session import BROADCAST_LIMIT_BYTES, workdir, written
+from ..session import delete_path, workdir, written
 
-#: Characters that always separate, and those that may.
+#: Delimiters that are likely to separate, and those that are as likely as not, before anything is learned.
 HARD = ",;|\t\n\r•·；，、｜"
-SOFT = "/&+\\-–—／＆＋"
+SOFT = "/&+-–—／＆＋"
+LIKELY, OPEN = 0.95, 0.5
 #: Pairs of quotation marks.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»"}
 
-_CUT = re.compile(rf"(\s*)([{SOFT}])(\s*)")
-_HAS_SOFT = f"[{SOFT}]"
+#: Values that are expected fewer times in other texts are spelled.
+LEAST = 0.1
+
+#: Most bytes of the table of known values that are broadcast; a larger one is joined to the texts instead.
+KNOWN_BYTES = 8 << 20
+
+_BLANK = r"[^\S\t\n\r]*"
+_run = lambda more="": re.compile(rf"(?:[{re.escape(HARD + SOFT + more)}]{_BLANK})+")
+_PLAIN, _TAGGED, _LISTED = _run(), _run("#"), _run("[]")
+#: A text of hash tags; a list in brackets.
+_TAGS = re.compile(r"\s*#[^\s#][^#]*(?:\s#[^\s#][^#]*)*")
+_LIST = re.compile(r'\s*\[\s*".*"\s*\]\s*', re.DOTALL)
+_ANY_QUOTE = re.compile(f"[{''.join(QUOTES)}]")
 _QUOTED = re.compile("|".join(rf"{a}[^{a}{b}]*(?:{a}{a}[^{a}{b}]*)*{b}" if a == b else rf"{a}[^{a}{b}]*{b}" for a, b in QUOTES.items()))
+_BESIDE = set(HARD + SOFT + "[]#")
 
 
 def _quoted_spans(text: str) -> list[tuple[int, int]]:
@@ -43,30 +60,12 @@ def _quoted_spans(text: str) -> list[tuple[int, int]]:
             a -= 1
         while b < len(text) and text[b].isspace() and text[b] not in HARD:
             b += 1
-        if (a < 0 or text[a] in HARD or text[a] in SOFT) and (b >= len(text) or text[b] in HARD or text[b] in SOFT):
+        if (a < 0 or text[a] in _BESIDE) and (b >= len(text) or text[b] in _BESIDE):
             out.append(m.span())
             at = m.end()
     return out
 
 
-def _spans_fast(text: str) -> list[tuple[int, int]]:
-    return _quoted_spans(text) if any(q in text for q in QUOTES) else []
-
-
-def segments(text: str) -> list[str]:
-    """Stretches between the delimiters that always separate; white space at the ends and blank stretches go."""
-    spans, out, last, k = _spans_fast(text), [], 0, 0
-    for m in re.finditer(f"[{re.escape(HARD)}]", text):
-        while k < len(spans) and spans[k][1] <= m.start():
-            k += 1
-        if k < len(spans) and spans[k][0] < m.start() < spans[k][1]:
-            continue
-        out.append(text[last : m.start()])
-        last = m.end()
-    out.append(text[last:])
-    return [x for x in (s.strip() for s in out) if x]
-
-
 def unquoted(value: str) -> str:
     """A value without the quotes around it; doubled and escaped quotes inside become single ones."""
     v = value.strip()
@@ -76,130 +75,320 @@ def unquoted(value: str) -> str:
     return v.strip()
 
 
-def cuts(segment: str) -> list[tuple[int, int, str]]:
-    """Places of a segment that may separate: (from, to, form); the form is the character and where it has blanks."""
-    spans, out = _spans_fast(segment), []
-    for m in _CUT.finditer(segment):
-        if not any(a < m.start(2) < b for a, b in spans):
-            left, right = m.start() == 0 or bool(m[1]), m.end() == len(segment) or bool(m[3])
-            out.append((m.start(), m.end(), ("_" if left else "") + m[2] + ("_" if right else "")))
-    return out
+@functools.lru_cache(maxsize=50_000)
+def form_of(run: str, left: bool) -> str:
+    """Written form of a run of delimiters: its first and last character, and where it has blanks; ``left``: before it."""
+    marks = [c for c in run if not c.isspace() or c in HARD]
+    core = marks[0] if len(marks) == 1 else f"{marks[0]}+{marks[-1]}"
+    return ("_" if left or run[0].isspace() else "") + core + ("_" if run[-1].isspace() else "")
 
 
-def edges(segment: str, longest: int) -> tuple[list[tuple[int, int, str]], list[str]]:
-    """Lattice of a segment: edges (i, j, value) over stretches i..j-1 between its cuts, and the cuts' forms.
+def prior(form: str) -> float:
+    """Probability that a form separates, before anything is learned."""
+    return LIKELY if any(c in HARD or c in "#[]" for c in form) else OPEN
 
-    ``longest``: most stretches that one value may hold.
-    """
-    c = cuts(segment)
-    starts, ends = [0, *(b for _, b, _ in c)], [*(a for a, _, _ in c), len(segment)]
-    out = [(i, j, segment[starts[i] : ends[j - 1]]) for i in range(len(starts)) for j in range(i + 1, min(len(starts), i + longest) + 1)]
-    return out, [f for _, _, f in c]
-
-
-class Scores:
-    """Edge scores of one lattice: a value's frequency without what the segment itself adds, else its letters."""
-
-    def __init__(self, total: float, separates: dict[str, float], novel: float, letter: float):
-        self.total, self.separates, self.novel, self.letter = total, separates, novel, letter
 
-    def edge(self, value: str, count: float, forms_in: list[str]) -> float:
-        v = unquoted(value)
-        if not v:  # an empty value costs nothing: it is dropped
-            s = 0.0
-        else:
-            s = math.log((max(count, 0.0) + self.novel * math.exp(-self.letter * min(len(v), 200))) / (self.total + self.novel))
-        return s + sum(math.log1p(-self.separates.get(f, 0.5)) for f in forms_in)
-
-    def cut(self, form: str) -> float:
-        return math.log(self.separates.get(form, 0.5))
+@dataclass
+class Lattice:
+    """Stretches of a text (from, to, without the blanks around them) and the forms of the delimiters between them.
 
+    Only the first and the last stretch may be empty: the text begins or ends with a delimiter.
+    """
 
-def _log_add(a: float, b: float) -> float:
+    text: str
+    begins: list[int]
+    ends: list[int]
+    forms: list[str]
+
+    def value(self, i: int, j: int) -> str:
+        """Value over the stretches i..j."""
+        v = self.text[self.begins[i] : self.ends[j]]
+        return unquoted(v) if v and v[0] in QUOTES else v
+
+    def key(self, i: int, j: int) -> str:
+        """What a value is counted as: one with delimiters inside keeps its quotes, as the quotes tell that these would
+        separate without them, so it is no evidence for the same letters unquoted."""
+        v = self.text[self.begins[i] : self.ends[j]]
+        if not v or v[0] not in QUOTES:
+            return v
+        bare = unquoted(v)
+        return v if _PLAIN.search(bare) else bare
+
+
+def lattice(text: str) -> Lattice:
+    spans = _quoted_spans(text) if _ANY_QUOTE.search(text) else []
+    pattern, size = _PLAIN, len(text)
+    if "#" in text and _TAGS.fullmatch(text):
+        pattern = _TAGGED
+    elif spans and "[" in text and _LIST.fullmatch(text):
+        pattern = _LISTED
+    begins, ends, forms, k = [size - len(text.lstrip())], [], [], 0
+    for m in pattern.finditer(text):
+        a, b = m.span()
+        if spans:
+            while k < len(spans) and spans[k][1] <= a:
+                k += 1
+            if k < len(spans) and spans[k][0] < a:
+                continue
+        begin, end = begins[-1], a
+        while end > begin and text[end - 1].isspace():
+            end -= 1
+        ends.append(max(begin, end))
+        forms.append(form_of(text[a:b] + (" " if b == size else ""), a == 0 or text[a - 1].isspace()))
+        begins.append(b)
+    ends.append(max(begins[-1], len(text.rstrip())))
+    return Lattice(text, begins, ends, forms)
+
+
+@dataclass
+class Known:
+    """Values that several texts hold: ``counts`` of texts beside one's own, and the ``steps`` (number of stretches less
+    one) of those with delimiters inside, by their first stretch."""
+
+    counts: dict[str, float]
+    steps: dict[str, list[int]] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, counts: dict[str, float]) -> Known:
+        steps: dict[str, set[int]] = {}
+        for v in counts:
+            at = lattice(v)
+            if at.forms:
+                steps.setdefault(at.key(0, 0), set()).add(len(at.forms))
+        return cls(counts, {k: sorted(s) for k, s in steps.items()})
+
+
+@dataclass
+class Model:
+    """``separates``: probability of each form; ``total`` of the values' counts, ``novel``: what of it falls to values that
+    no other text holds, learned too; ``letter``: cost of each of their letters."""
+
+    separates: dict[str, float]
+    total: float
+    novel: float
+    letter: float
+
+    def scored(self, lat: Lattice, known: Known) -> tuple[list[tuple[int, int, float]], list[float], list[float], list[float], float]:
+        """Edges of known values (i, j, score); by stretch the cost of spelling it; by delimiter the scores of cutting
+        there and of spelling on over it; the score of beginning to spell."""
+        n, b, e = len(lat.begins), lat.begins, lat.ends
+        sep = [self.separates[f] if f in self.separates else prior(f) for f in lat.forms]
+        cut, whole = [math.log(p) for p in sep], math.log(self.total)
+        join = [math.log1p(-p) for p in sep]
+        on = [x - self.letter * (b[k + 1] - e[k]) for k, x in enumerate(join)]
+        spell = [-self.letter * (y - x) for x, y in zip(b, e, strict=True)]
+        edges, counts, steps = [], known.counts, known.steps
+        for i in range(n):
+            v = lat.key(i, i)
+            if not v:
+                edges.append((i, i, 0.0))  # an empty value costs nothing: it is dropped
+            elif v in counts:
+                edges.append((i, i, math.log(counts[v]) - whole))
+            if v in steps:
+                for m in steps[v]:
+                    if i + m < n and (c := counts.get(lat.key(i, i + m))):
+                        edges.append((i, i + m, math.log(c) - whole + sum(join[i : i + m])))
+        return edges, spell, cut, on, math.log(self.novel) - whole
+
+    def expect(self, lat: Lattice, known: Known, least: float = 1e-3) -> tuple[list[tuple[str, float]], list[float]]:
+        """Expected values of a text (value, probability), those below ``least`` left out, and for each delimiter the
+        probability that it separates."""
+        edges, spell, cut, on, start = self.scored(lat, known)
+        n = len(spell)
+        into: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for i, j, s in edges:
+            into[j].append((i, s))
+        # Score of all readings up to a stretch that end a value there, cut included (end), or spell on (inside).
+        end, inside, h = [0.0] * n, [0.0] * n, -math.inf
+        for k in range(n):
+            before = end[k - 1] if k else 0.0
+            h = _add(before + start, h + on[k - 1] if k else -math.inf) + spell[k]
+            inside[k], s = h, h
+            for i, x in into[k]:
+                s = _add(s, (end[i - 1] if i else 0.0) + x)
+            end[k] = s + cut[k] if k < n - 1 else s
+        z = end[n - 1]
+        out_of: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for i, j, s in edges:
+            out_of[i].append((j, s))
+        # Score of all readings from a stretch on: a value begins there (begin), or one that is spelled goes on (rest).
+        begin, rest, r = [0.0] * (n + 1), [0.0] * n, -math.inf
+        for k in range(n - 1, -1, -1):
+            after = begin[k + 1] + (cut[k] if k < n - 1 else 0.0)
+            r = _add(after, r + on[k] + spell[k + 1] if k < n - 1 else -math.inf)
+            rest[k], s = r, start + spell[k] + r
+            for j, x in out_of[k]:
+                s = _add(s, x + begin[j + 1] + (cut[j] if j < n - 1 else 0.0))
+            begin[k] = s
+        out: dict[str, float] = {}
+        for i, j, s in edges:
+            p = math.exp(min(0.0, (end[i - 1] if i else 0.0) + s + (cut[j] if j < n - 1 else 0.0) + begin[j + 1] - z))
+            if p >= least and (v := lat.key(i, j)):
+                out[v] = out.get(v, 0.0) + p
+        for i in range(n):
+            s = (end[i - 1] if i else 0.0) + start + spell[i] - z
+            for j in range(i, n):
+                if s + rest[j] < math.log(least):  # probability that a spelled value from i on holds j
+                    break
+                p = math.exp(min(0.0, s + (cut[j] if j < n - 1 else 0.0) + begin[j + 1]))
+                if p >= least and (v := lat.key(i, j)):
+                    out[v] = out.get(v, 0.0) + p
+                if j < n - 1:
+                    s += on[j] + spell[j + 1]
+        return list(out.items()), [math.exp(min(0.0, end[k] + begin[k + 1] - z)) for k in range(n - 1)]
+
+    def best(self, lat: Lattice, known: Known) -> list[str]:
+        """Values of the best reading; of equally good ones that with known values, then that with fewer cuts."""
+        if not lat.forms:
+            v = lat.value(0, 0)
+            return [v] if v else []
+        edges, spell, cut, on, start = self.scored(lat, known)
+        n = len(spell)
+        into: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for i, j, s in edges:
+            into[j].append((i, s))
+        end, came, h, begun = [0.0] * n, [0] * n, -math.inf, 0
+        for k in range(n):
+            fresh = (end[k - 1] if k else 0.0) + start
+            going = h + on[k - 1] if k else -math.inf
+            h, begun = (going + spell[k], begun) if going >= fresh else (fresh + spell[k], k)
+            top, at = h, begun
+            for i, x in into[k]:
+                s = (end[i - 1] if i else 0.0) + x
+                if s >= top:
+                    top, at = s, i
+            end[k], came[k] = (top + cut[k] if k < n - 1 else top), at
+        out, k = [], n - 1
+        while k >= 0:
+            if v := lat.value(came[k], k):
+                out.append(v)
+            k = came[k] - 1
+        return out[::-1]
+
+
+def _add(a: float, b: float) -> float:
     if a < b:
         a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
-
-
-def forward_backward(n: int, scored: list[tuple[int, int, float]], joins: list[float]) -> list[float]:
-    """Posterior of each edge of a lattice over nodes 0..n; ``joins[k]``: score of cutting at node k+1."""
-    fw, bw = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
-    fw[0] = bw[n] = 0.0
-    at = lambda k: joins[k - 1] if 0 < k < n else 0.0
-    for i, j, s in sorted(scored):
-        fw[j] = _log_add(fw[j], fw[i] + s + at(j))
-    for i, j, s in sorted(scored, key=lambda e: (-e[1], -e[0])):
-        bw[i] = _log_add(bw[i], s + at(j) + bw[j])
-    return [math.exp(min(0.0, fw[i] + s + at(j) + bw[j] - fw[n])) for i, j, s in scored]
-
-
-def viterbi(n: int, scored: list[tuple[int, int, float]], joins: list[float]) -> list[int]:
-    """Nodes of the best path; of equal paths the one with fewer values."""
-    best: list[tuple[float, int, int]] = [(-math.inf, 0, -1)] * (n + 1)
-    best[0] = (0.0, 0, -1)
-    for i, j, s in sorted(scored):
-        cand = (best[i][0] + s + (joins[j - 1] if 0 < j < n else 0.0), best[i][1] - 1, i)
-        if cand[:2] > best[j][:2]:
-            best[j] = cand
-    path, k = [n], n
-    while k > 0:
-        k = best[k][2]
-        path.append(k)
-    return path[::-1]
+    return a if b < a - 40 else a + math.log1p(math.exp(b - a))
+
+
+def _first_guess(lat: Lattice, least: float = 0.01, alike: float = 0.25) -> tuple[list[tuple[str, float]], list[float]]:
+    """Expected values where each delimiter separates by itself with the prior probability of its form, or (with the
+    probability ``alike``) none of the open ones between two likely ones does."""
+    cuts = [prior(f) for f in lat.forms]
+    out: dict[str, float] = {}
+    if OPEN in cuts:
+        edges = [-1, *(k for k, p in enumerate(cuts) if p != OPEN), len(cuts)]
+        for i, j in itertools.pairwise(edges):
+            if v := lat.key(i + 1, j):
+                out[v] = out.get(v, 0.0) + alike
+    rest = 1 - alike if out else 1.0
+    for i in range(len(lat.begins)):
+        p = rest * cuts[i - 1] if i else rest
+        for j in range(i, len(lat.begins)):
+            q = p * (cuts[j] if j < len(cuts) else 1.0)
+            if q >= least and (v := lat.key(i, j)):
+                out[v] = out.get(v, 0.0) + q
+            if j < len(cuts):
+                p *= 1 - cuts[j]
+            if p < least:
+                break
+    return list(out.items()), cuts
+
+
+Read = Callable[[str, dict | None], tuple[list[tuple[str, float]], list[float], list[str]]]
+
+
+def _sums(read: Read):
+    """Partial sums of what texts are expected to hold: (kind, v, s, n) with values (kind 0) and forms (kind 1)."""
+
+    def rows(held: dict) -> pd.DataFrame:
+        return pd.DataFrame([(k, v, s, n) for (k, v), (s, n) in held.items()], columns=["kind", "v", "s", "n"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, str], tuple[float, int]] = {}
+        for b in batches:
+            for text, near in zip(b["text"], b["near"] if "near" in b else itertools.repeat(None), strict=False):
+                values, cuts, forms = read(text, near)
+                for v, p in values:
+                    s, n = held.get((0, v), (0.0, 0))
+                    held[0, v] = (s + min(p, 1.0), n + 1)  # a text counts once for a value, however often it holds it
+                for f, p in zip(forms, cuts, strict=True):
+                    s, n = held.get((1, f), (0.0, 0))
+                    held[1, f] = (s + p, n + 1)
+            if len(held) > 200_000:
+                yield rows(held)
+                held = {}
+        yield rows(held)
+
+    return run
 
 
 class Splitter:
-    """Learns from ``texts`` (a column ``text``) how its soft delimiters behave, then splits.
+    """Learns from ``texts`` (a column ``text``) how its delimiters behave and how frequent its values are, then splits.
 
-    Parameters: ``rounds`` of expectation maximisation, ``longest`` stretches of one value, ``novel`` pseudo-count of
-    values not seen elsewhere, ``letter`` cost of each of their letters.
+    Parameters: ``rounds`` of expectation maximisation, ``letter`` as in ``Model``, ``known_bytes``: most bytes of known
+    values that are broadcast (the way beyond gives the same result). Texts count once, however often they are repeated.
     """
 
-    def __init__(self, texts: DataFrame, rounds: int = 3, longest: int = 8, novel: float = 50.0, letter: float = 1.2):
-        self.spark, self.longest, self.novel, self.letter, self.rounds = texts.sparkSession, longest, novel, letter, rounds
+    def __init__(self, texts: DataFrame, rounds: int = 3, letter: float = 1.5, known_bytes: int = KNOWN_BYTES):
+        self.spark, self.known_bytes = texts.sparkSession, known_bytes
         self.root = workdir(self.spark, "multivalue")
-        self.separates: dict[str, float] = {}
-        self.decisions = self._learn(texts)
-
-    def _learn(self, texts: DataFrame) -> DataFrame:
-        segs = texts.select(F.explode(lexed(F.col("text"))).alias("seg")).groupBy("seg").agg(F.count("*").alias("n"))
-        segs = written(segs, f"{self.root}/segments")
-        soft = segs.filter(F.col("seg").rlike(_HAS_SOFT))
-        plain = segs.filter(~F.col("seg").rlike(_HAS_SOFT))
-        fixed = plain.select(clean(F.col("seg")).alias("v"), "n").groupBy("v").agg(F.sum("n").cast("double").alias("c"))
-        longest = self.longest
-
-        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        self.texts = written(texts.select("text").filter("text IS NOT NULL").distinct(), f"{self.root}/texts")
+        self.model = Model({}, 1.0, 1.0, letter)
+        self.table: DataFrame | None = None
+        self.shared = None
+        self._learn(_sums(_guess), self.texts, 0)
+        for k in range(1, rounds + 1):
+            reader, rows = self._reader(_expected(self.model)), self._with_known()
+            self._learn(_sums(reader), rows, k)
+            delete_path(self.spark, f"{self.root}/round-{k - 1}")
+
+    def _learn(self, sums, rows: DataFrame, k: int) -> None:
+        """One round over all distinct texts: sums of expectations become probabilities and counts."""
+        found = rows.mapInPandas(sums, "kind int, v string, s double, n long").groupBy("kind", "v").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        found = written(found, f"{self.root}/round-{k}")
+        forms = found.filter("kind = 1").collect()  # a few per pair of delimiters
+        self.model.separates = {r.v: min((r.s + prior(r.v)) / (r.n + 1.0), 1 - 1e-12) for r in forms}
+        # A text's own share doesn't tell of its values, so the mean share of a text is taken off each count.
+        values = found.filter("kind = 0").select("v", "s", (F.col("s") - F.col("s") / F.col("n")).alias("c"))
+        self.table = values.filter(F.col("c") >= LEAST).select("v", "c")
+        known = F.col("c") >= LEAST
+        size = values.agg(F.sum("s").alias("total"), F.sum(F.when(known, F.col("c"))).alias("known"), F.sum(F.when(known, F.octet_length("v") + 100)).alias("bytes")).first()
+        self.model.total = (size.total or 0.0) + 1.0
+        self.model.novel = self.model.total - (size.known or 0.0)
+        if self.shared is not None:
+            self.shared.destroy()
+        self.shared = None
+        if (size.bytes or 0) <= self.known_bytes:
+            self.shared = self.spark.sparkContext.broadcast(Known.of({r.v: r.c for r in self.table.collect()}))
+
+    def _reader(self, read) -> Read:
+        shared = self.shared
+
+        def run(text: str, near: dict | None) -> tuple[list[tuple[str, float]], list[float], list[str]]:
+            return read(text, Known.of(dict(near or {})) if shared is None else shared.value)
+
+        return run
+
+    def _with_known(self) -> DataFrame:
+        """The distinct texts, with the known values that each may hold (``near``) where these aren't broadcast."""
+        if self.shared is not None:
+            return self.texts
+        steps = self.table.mapInPandas(_longest, "n int").agg(F.max("n")).first()[0] or 0
+
+        def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(seg, n, i, j, unquoted(v)) for seg, n in zip(b["seg"], b["n"], strict=True) for i, j, v in edges(seg, longest)[0]]
-                yield pd.DataFrame(rows, columns=["seg", "n", "i", "j", "v"])
-
-        lattice = written(soft.mapInPandas(spread, "seg string, n long, i int, j int, v string"), f"{self.root}/lattice")
-        # Only candidates of some lattice need a count.
-        fixed = written(fixed.join(lattice.select("v").distinct(), "v", "left_semi"), f"{self.root}/fixed")
-        total = segs.agg(F.sum("n")).first()[0] or 0
-        separates: dict[str, float] = {}
-        counts = fixed.withColumn("own", F.lit(0.0))
-        own = None
-        for k in range(self.rounds + 1):
-            known = lattice.join(counts.select("v", "c"), "v", "left")
-            if own is not None:
-                known = known.join(own, ["seg", "i", "j"], "left")
-            else:
-                known = known.withColumn("own", F.lit(0.0))
-            packed = known.groupBy("seg").agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "j", F.coalesce("c", F.lit(0.0)).alias("c"), F.coalesce("own", F.lit(0.0)).alias("own"))).alias("e"))
-            scores = Scores(float(total), dict(separates), self.novel, self.letter)
-            if k == self.rounds:
-                out = packed.mapInPandas(_decide(scores, longest), "seg string, vals array<string>")
-                self.separates = separates
-                return written(out, f"{self.root}/decisions")
-            post = written(packed.mapInPandas(_expect(scores, longest), "seg string, i int, j int, v string, form string, own double, n double"), f"{self.root}/round-{k}")
-            stats = post.filter("form IS NOT NULL").groupBy("form").agg(F.sum("own").alias("cut"), F.sum("n").alias("all")).collect()  # one row per form of delimiter
-            separates = {r.form: min(max((r["cut"] + 0.5) / (r["all"] + 1.0), 1e-4), 1 - 1e-4) for r in stats}
-            own = post.filter("form IS NULL").select("seg", "i", "j", "own")
-            gained = post.filter("form IS NULL").groupBy("v").agg(F.sum("own").alias("c"))
-            counts = fixed.select("v", "c").unionByName(gained).groupBy("v").agg(F.sum("c").alias("c"))
-        raise AssertionError
+                rows = []
+                for t in b["text"]:
+                    lat = lattice(t)
+                    n = len(lat.begins)
+                    rows += [(t, v) for v in {lat.key(i, j) for i in range(n) for j in range(i, min(n, i + steps + 1))}]
+                yield pd.DataFrame(rows, columns=["text", "v"])
+
+        found = self.texts.mapInPandas(candidates, "text string, v string").join(self.table, "v")
+        near = found.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("v", "c"))).alias("near"))
+        return self.texts.join(near, "text", "left")
 
     def split(self, df: DataFrame, text: str) -> DataFrame:
         """``df`` with ``vals array<string>``: the values of its column ``text`` in their order.
@@ -208,82 +397,61 @@ class Splitter:
         that start with ``qr_`` are reserved, and a column ``vals`` is replaced.
         """
         own = [F.col(f"`{c}`") for c in df.columns if c != "vals"]
-        a = df.select(*own, F.coalesce(lexed(F.col(f"`{text}`")), F.array().cast("array<string>")).alias("qr_segs"))
-        soft = F.exists("qr_segs", lambda s: s.rlike(_HAS_SOFT))
-        plain = a.filter(~soft).select(*own, F.filter(F.transform("qr_segs", clean), lambda v: v != "").alias("vals"))
-        rest = a.filter(soft).withColumn("qr_row", F.monotonically_increasing_id())
-        rest = written(rest, workdir(self.spark, "multivalue-rows"))
-        parts = rest.select("qr_row", F.posexplode("qr_segs").alias("qr_pos", "seg"))
-        known = self.decisions
-        if known.count() * 400 <= BROADCAST_LIMIT_BYTES:
-            known = F.broadcast(known)
-        parts = parts.join(known, "seg", "left").select("qr_row", "qr_pos", F.coalesce("vals", F.array(clean(F.col("seg")))).alias("v"))
-        lists = parts.groupBy("qr_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("qr_pos", "v"))), lambda x: x["v"])).alias("vals"))
-        done = rest.join(lists, "qr_row").select(*own, F.filter("vals", lambda v: v != "").alias("vals"))
-        return plain.unionByName(done)
-
-
-def _expect(scores: Scores, longest: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for seg, n, es in zip(b["seg"], b["n"], b["e"], strict=True):
-                lattice, forms = edges(seg, longest)
-                got = {(e["i"], e["j"]): e["c"] - e["own"] for e in es}
-                scored = [(i, j, scores.edge(v, got.get((i, j), 0.0), forms[i : j - 1])) for i, j, v in lattice]
-                post = forward_backward(len(forms) + 1, scored, [scores.cut(f) for f in forms])
-                for (i, j, v), p in zip(lattice, post, strict=True):
-                    rows.append((seg, i, j, unquoted(v), None, p * n, float(n)))
-                for k, f in enumerate(forms):
-                    rows.append((seg, k, k, None, f, n * sum(p for (_, j, _), p in zip(lattice, post, strict=True) if j == k + 1), float(n)))
-            yield pd.DataFrame(rows, columns=["seg", "i", "j", "v", "form", "own", "n"])
+        none = F.array().cast("array<string>")
+        if self.shared is not None:
+            vals = F.pandas_udf(_split(self.model, self.shared), T.ArrayType(T.StringType()))(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+            return df.select(*own, vals.alias("vals"))
+        read = self._reader(_decided(self.model))
 
-    return run
+        def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"qr_text": b["text"], "qr_vals": [read(t, m) for t, m in zip(b["text"], b["near"], strict=True)]})
 
+        # One row per distinct text; adaptive execution splits hot texts of the other side.
+        done = written(self._with_known().mapInPandas(decide, "qr_text string, qr_vals array<string>"), f"{self.root}/decided")
+        return df.join(done, df[text] == done["qr_text"], "left").select(*own, F.coalesce("qr_vals", none).alias("vals"))
 
-def _decide(scores: Scores, longest: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for seg, es in zip(b["seg"], b["e"], strict=True):
-                lattice, forms = edges(seg, longest)
-                got = {(e["i"], e["j"]): e["c"] - e["own"] for e in es}
-                text = {(i, j): v for i, j, v in lattice}
-                scored = [(i, j, scores.edge(v, got.get((i, j), 0.0), forms[i : j - 1])) for i, j, v in lattice]
-                path = viterbi(len(forms) + 1, scored, [scores.cut(f) for f in forms])
-                rows.append((seg, [x for x in (unquoted(text[p]) for p in zip(path, path[1:], strict=False)) if x]))
-            yield pd.DataFrame(rows, columns=["seg", "vals"])
+
+def _guess(text: str, _) -> tuple[list[tuple[str, float]], list[float], list[str]]:
+    lat = lattice(text)
+    return (*_first_guess(lat), lat.forms)
+
+
+def _expected(model: Model):
+    def run(text: str, known: Known) -> tuple[list[tuple[str, float]], list[float], list[str]]:
+        lat = lattice(text)
+        if not lat.forms:  # one value for certain
+            v = lat.key(0, 0)
+            return ([(v, 1.0)] if v else []), [], []
+        return (*model.expect(lat, known), lat.forms)
 
     return run
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _lex(texts: pd.Series) -> pd.Series:
-    return texts.map(segments)
+def _decided(model: Model):
+    return lambda text, known: model.best(lattice(text), known)
 
 
-def clean(value: Column) -> Column:
-    """A segment without its quotes, in the JVM."""
-    v = utrim(value)
-    inner = F.substring(v, F.lit(2), F.length(v) - 2)
-    out = v
-    for a, b in QUOTES.items():
-        bare = F.replace(F.replace(inner, F.lit(b * 2), F.lit(b)), F.lit("\\" + b), F.lit(b))
-        out = F.when((F.length(v) >= 2) & v.startswith(a) & v.endswith(b), utrim(bare)).otherwise(out)
-    return out
+def _longest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"n": [max((len(lattice(v).forms) for v in b["v"]), default=0)]}, dtype="int32")
 
 
-def lexed(text: Column) -> Column:
-    """Segments of a text; Python reads only those that hold quotation marks.
+def _split(model: Model, shared):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, memo = shared.value, {}
+        for b in batches:
+            out = []
+            for t in b:
+                got = memo.get(t)
+                if got is None:
+                    if len(memo) > 50_000:  # a cache only
+                        memo.clear()
+                    got = memo[t] = model.best(lattice(t), known)
+                out.append(got)
+            yield pd.Series(out, dtype=object)
 
-    A list in brackets is read without them; in a text of hash tags each tag is a segment.
-    """
-    t = F.regexp_replace(text, r'(?s)^\s*\[(\s*".*"\s*)\]\s*$', "$1")
-    tags = utrim(t).rlike(r"^#[^\s#][^#]*(\s#[^\s#][^#]*)*$")
-    t = F.when(tags, F.regexp_replace(utrim(t), r"(^|\s)#", "\n")).otherwise(t)
-    bare = F.filter(F.transform(F.split(t, f"[{HARD}]"), utrim), lambda x: x != "")
-    quotes = "[" + "".join(QUOTES) + "]"
-    return F.when(t.rlike(quotes), _lex(F.when(t.rlike(quotes), t).otherwise(F.lit("")))).otherwise(bare)
+    return run
 
 
 def packed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
