@@ -21,12 +21,16 @@ from pyspark.sql import functions as F
 
 from ..session import workdir, written
 
-#: Letters of Latin, Cyrillic and Greek that look the same, one set per word.
+#: Letters of Latin, Cyrillic and Greek that look the same, one set per word: those of the confusables of
+#: Unicode Technical Standard 39 that are of one case and one shape in print (not such as alpha and a, or small capitals).
 LOOKALIKES = (
-    "aа cс dԁ eе hһ iі jј oоο pр qԛ sѕ wԝ xх yу vѵ "
-    "AАΑ BВΒ CС EЕΕ GԌ HНΗ IІΙ JЈ KКΚ MМΜ NΝ OОΟ PРΡ SЅ TТΤ XХΧ YΥ ZΖ WԜ QԚ VѴ æӕ ÆӔ"
+    "aа cсϲ dԁ eе gɡ hһ iі jјϳ lӏ oοо pр qԛ sѕ vνѵ wԝ xх yуү æӕ əәǝ ɵө ʒӡ ɔͻ þϸ "
+    "AАΑ BВΒ CСϹ EЕΕ FϜ GԌ HНΗ IІΙӀ JЈͿ KКΚ MМΜϺ NΝ OОΟ PРΡ QԚ SЅ TТΤ VѴ WԜ XХΧ YΥҮ ZΖ ÆӔ ƏӘ ƐԐ ƟӨ ƷӠ ƆϽ ÞϷ ÐĐƉ ΓГ ΠП ΦФ ΣƩ"
 ).split()
 
+#: Characters whose compatibility decomposition looks otherwise; they stay as they are.
+OTHER_LOOK = "ſϐϑϒϕϖϰϱϲϴϵϹ℀℁℅℆№℡℻"
+
 #: Marks that look like a plain one.
 PLAIN_MARKS = {"‐": "-", "‑": "-", "­": "", "͏": "", "ᅟ": "", "ᅠ": "", "ㅤ": "", "ﾠ": "", "ʼ": "’"}
 
@@ -49,7 +53,7 @@ def _plain_char(ch: str) -> str:
         return " "
     if kind in ("Cf", "Cc") or "\ufe00" <= ch <= "\ufe0f" or "\U000e0100" <= ch <= "\U000e01ef":
         return ""
-    form = unicodedata.decomposition(ch)
+    form = "" if ch in OTHER_LOOK else unicodedata.decomposition(ch)
     if form.startswith(_SAME_LOOK):
         # Accents that stand alone decompose to a blank and a mark; they stay.
         whole = unicodedata.normalize("NFKC", ch)
@@ -83,6 +87,12 @@ def script_of(ch: str) -> str:
     return name if name in SCRIPTS else ""
 
 
+@functools.lru_cache(maxsize=10_000)
+def _readings(ch: str) -> tuple[tuple[str, str, str], ...]:
+    """(letter, script, small letter) of all letters that look like one."""
+    return tuple((b, script_of(b), b.lower()) for b in _CLASS.get(ch, ch))
+
+
 def pair_counts(stretches: Counter) -> Counter:
     """Counts of (script, previous letter, letter), in small letters, in the words of one script."""
     out: Counter = Counter()
@@ -111,11 +121,18 @@ class Reader:
         total = sum(self.whole.values())
         self.prior = {s: math.log((self.whole[s] + 1) / (total + len(SCRIPTS))) for s in SCRIPTS}
         self.known: dict[str, dict[str, str]] = {}
+        self.scored: dict[tuple[str, str, str], float] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}, "scored": {}}
 
     def pair(self, s: str, a: str, b: str) -> float:
         """log P(b | a) within script s, backed off to the letter alone."""
-        alone = (self.single[s, b] + 0.5) / (self.whole[s] + 0.5 * ALPHABET)
-        return math.log((self.pairs.get((s, a, b), 0) + 2.0 * alone) / (self.before[s, a] + 2.0))
+        got = self.scored.get((s, a, b))
+        if got is None:
+            alone = (self.single[s, b] + 0.5) / (self.whole[s] + 0.5 * ALPHABET)
+            got = self.scored[s, a, b] = math.log((self.pairs.get((s, a, b), 0) + 2.0 * alone) / (self.before[s, a] + 2.0))
+        return got
 
     def word(self, w: str, lean: str) -> str:
         """A stretch without blanks, its words read and all else as it is."""
@@ -130,27 +147,31 @@ class Reader:
         """Viterbi over letters; the lattice of a letter is its set of look-alikes in a fixed order."""
         if not any(c in _CLASS for c in w):
             return w
+        pair, known = self.pair, self.scored
         begin = {s: self.prior[s] + (LEAN if s == lean else 0.0) for s in SCRIPTS}
-        paths: dict[str, tuple[float, str]] | None = None  # last letter: (score, path)
+        paths: list[tuple[float, str, str, str]] | None = None  # score, path, script and small form of its last letter
         for c in w:
             if unicodedata.combining(c):
-                paths = {k: (v, p + c) for k, (v, p) in paths.items()} if paths else {c: (0.0, c)}
+                paths = [(v, p + c, s, a) for v, p, s, a in paths] if paths else [(0.0, c, "", c)]
                 continue
-            new: dict[str, tuple[float, str]] = {}
-            for b in _CLASS.get(c, c):
-                s, small = script_of(b), b.lower()
+            new = []
+            for b, s, small in _readings(c):
                 if paths is None:
-                    new[b] = ((begin[s] + self.pair(s, _START, small)) if s else 0.0, b)
+                    new.append(((begin[s] + pair(s, _START, small)) if s else 0.0, b, s, small))
                     continue
-                best = None
-                for a, (v, p) in paths.items():
-                    if s:
-                        v += self.pair(s, a.lower(), small) if script_of(a) == s else begin[s] - SWITCH + self.pair(s, _START, small)
-                    if best is None or v > best[0]:
-                        best = (v, p + b)
-                new[b] = best
+                top, at = -math.inf, ""
+                turn = begin[s] - SWITCH + pair(s, _START, small) if s else 0.0
+                for v, p, t, a in paths:
+                    if t == s and s:
+                        got = known.get((s, a, small))
+                        v += pair(s, a, small) if got is None else got
+                    else:
+                        v += turn
+                    if v > top:
+                        top, at = v, p
+                new.append((top, at + b, s, small))
             paths = new
-        return max(paths.values(), key=lambda x: (x[0], x[1]))[1] if paths else ""
+        return max(paths, key=lambda x: x[:2])[1] if paths else ""
 
     def text(self, text: str) -> str:
         """The one form of a text: of all texts that look like it.
@@ -221,25 +242,30 @@ def classes(values: DataFrame) -> DataFrame:
     return c.select("row_id", "field", F.md5("form").alias("class_id"), F.md5("value").alias("variant"))
 
 
-def variant_rows(values: DataFrame) -> DataFrame:
-    """Rows of classes that hold two variants or more, with the number of the class's rows."""
-    c = written(classes(values), workdir(values.sparkSession, "lookalikes"))
-    # Copies collapse in the map-side half of the first aggregate.
-    sizes = c.groupBy("field", "class_id", "variant").agg(F.count("*").alias("n")).groupBy("field", "class_id").agg(F.count("*").alias("variants"), F.sum("n").alias("size"))
-    return c.join(sizes.filter("variants > 1").select("field", "class_id", "size"), ["field", "class_id"])
-
-
 def pairs(values: DataFrame, slice_rows: int = 2000) -> DataFrame:
     """(field, row_id_1, row_id_2), row_id_1 < row_id_2: rows whose values look the same but are other strings.
 
-    All such pairs come out. Large classes are cut into slices on one side and repeated on the other, so that no task
-    joins a whole class.
+    All such pairs come out. Variants of a class are paired first and their rows after, so no two copies of one string
+    ever meet and the work is in proportion to the result. Rows of a large variant, and variants of a large class, are
+    cut into slices on one side and repeated on the other, so that no task joins a whole one.
     """
-    rows = written(variant_rows(values), workdir(values.sparkSession, "variants"))
-    slices = F.ceil(F.col("size") / slice_rows)
-    left = rows.select("field", "class_id", F.col("row_id").alias("row_id_1"), F.col("variant").alias("v1"), F.pmod(F.xxhash64("row_id"), slices).alias("slice"))
-    right = rows.select("field", "class_id", F.col("row_id").alias("row_id_2"), F.col("variant").alias("v2"), F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("slice"))
-    return left.join(right, ["field", "class_id", "slice"]).filter("row_id_1 < row_id_2 AND v1 <> v2").select("field", "row_id_1", "row_id_2")
+    spark = values.sparkSession
+    c = written(classes(values), workdir(spark, "lookalikes"))
+    # Copies collapse in the map-side half of the first aggregate.
+    variants = c.groupBy("field", "class_id", "variant").agg(F.count("*").alias("n"))
+    size = variants.groupBy("field", "class_id").agg(F.count("*").alias("size")).filter("size > 1")
+    several = written(variants.join(size, ["field", "class_id"]), workdir(spark, "variants"))
+    slices = lambda n: F.ceil(F.col(n) / slice_rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), slices(n) - 1))
+    left = several.select("field", "class_id", F.col("variant").alias("v1"), F.col("n").alias("n1"), F.pmod(F.xxhash64("variant"), slices("size")).alias("slice"))
+    right = several.select("field", "class_id", F.col("variant").alias("v2"), F.col("n").alias("n2"), every("size").alias("slice"))
+    both = left.join(right, ["field", "class_id", "slice"]).filter("v1 < v2").select("field", "v1", "n1", "v2", "n2")
+    rows = c.join(several.select("field", "variant", "n"), ["field", "variant"])
+    rows = written(rows.select("field", "variant", "row_id", F.pmod(F.xxhash64("row_id"), slices("n")).alias("slice")), workdir(spark, "variant-rows"))
+    named = lambda k: rows.select("field", F.col("variant").alias(f"v{k}"), F.col("row_id").alias(f"r{k}"), "slice")
+    first = both.select("*", every("n1").alias("slice")).join(named(1), ["field", "v1", "slice"]).drop("slice", "v1", "n1")
+    out = first.select("*", every("n2").alias("slice")).join(named(2), ["field", "v2", "slice"])
+    return out.select("field", F.least("r1", "r2").alias("row_id_1"), F.greatest("r1", "r2").alias("row_id_2"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,14 @@ def test_other_look_other_form():
         assert r.text(a) != r.text(b)
 
 
+def test_letters_that_unicode_calls_confusable():
+    r = reader()
+    for a, b in (("νolume", "volume"), ("Үork", "York"), ("ӏamp", "lamp"), ("ɡame", "game"), ("Ϳune", "June"), ("Ϲat", "Cat"), ("ϲup", "cup"), ("Ӏnn", "Inn"), ("ѕеа", "sea")):
+        assert r.text(a) == r.text(b) == b
+    for a, b in (("ſea", "sea"), ("№ 5", "No 5"), ("ϑ", "θ"), ("αll", "all"), ("Σat", "Cat"), ("il", "ll")):
+        assert r.text(a) != r.text(b)
+
+
 def test_form_depends_on_the_look_only():
     rng, r = random.Random(3), reader()
     for _ in range(300):
@@ -76,6 +84,12 @@ def test_pairs_against_brute_force(spark):
     assert got == want and len(want) > 100
 
 
+def test_a_class_of_many_copies_is_joined_in_proportion_to_its_pairs(spark):
+    rows = spark.range(20_000).selectExpr("id AS row_id", "'t' AS field", "CASE WHEN id = 7 THEN 'Mаyor' ELSE 'Mayor' END AS value")
+    got = L.pairs(rows, slice_rows=500)
+    assert got.count() == 19_999 and got.filter("row_id_1 = 7 OR row_id_2 = 7").count() == 19_999
+
+
 def test_long_empty_and_null(spark):
     out = {r.row_id: r.form for r in L.canonical(frame(spark, [(1, "t", "а" * 50_000 + " b", None), (2, "t", None, None), (3, "t", "​ ", None)])).collect()}
     assert len(out[1]) == 50_002 and out[2] is None and out[3] == ""
