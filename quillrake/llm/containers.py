@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workdir, written
-from .tokens import TOKENIZER, token_count
+from .tokens import TOKENIZER, told_apart, token_count
 
 #: A group holds about this many tokens and at most about this many items, so that one task packs it in little memory.
 GROUP_TOKENS, GROUP_ITEMS = 4_000_000, 40_000
@@ -65,7 +65,7 @@ def pack(items: DataFrame, specs: list[tuple[str, int]], seed: int = 17, group_t
     One row per piece: (spec, grp, container, doc_id, piece, token_from, token_to); a container is (spec, grp,
     container). Only an item larger than the capacity has several pieces. Items without tokens, NULL sizes among them,
     take no room and come out too. Repeated ids are items of their own. No items or specs, no rows. Capacities must be
-    positive.
+    positive. The seed fixes the result, whatever the files and the number of tasks.
     """
     spark = items.sparkSession
     if any(c is None or c <= 0 for _, c in specs):
@@ -74,11 +74,10 @@ def pack(items: DataFrame, specs: list[tuple[str, int]], seed: int = 17, group_t
     if not specs:
         return spark.createDataFrame([], schema)
     items = items.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"))
-    items = written(items, workdir(spark, "sizes"))
+    items = written(told_apart(items), workdir(spark, "sizes"))
     total, n = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     groups = max(1, math.ceil(total / group_tokens), math.ceil(n / group_items))
-    # The row's place in the written table is hashed too, so that a repeated id doesn't gather in one group.
-    grp = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("int")
+    grp = F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed)), F.lit(groups)).cast("int")
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("spec"), F.lit(int(c)).cast("bigint").alias("capacity")) for s, c in specs]))
     rows = items.select("doc_id", "n_tokens", grp.alias("grp"), each.alias("s")).select("doc_id", "n_tokens", "grp", "s.spec", "s.capacity")
 

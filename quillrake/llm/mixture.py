@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import heapq
 import math
+import random
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workdir, written
-from .tokens import TOKENIZER, token_count
+from .tokens import TOKENIZER, told_apart, token_count
 
 #: Tokens of a block; and of a shard, which one task orders and selects from.
 BLOCK_TOKENS, SHARD_TOKENS = 256, 4_000_000
@@ -45,20 +46,33 @@ def sainte_lague(weights: list[float], caps: list[int], seats: int) -> list[int]
     return out
 
 
-def fill(sizes: list[int], quota: int) -> list[int]:
-    """Uses of each document (in seeded order) whose tokens come as near to the quota as whole documents do from below.
+def cut_blocks(sizes: list[int], block_tokens: int) -> list[tuple[int, int, int, int]]:
+    """Documents (in order) laid end to end and cut into blocks of equal tokens: (document, block, token_from, token_to).
 
-    As many full passes as fit, then the leading documents, then later ones that still fit.
+    What remains after the last whole block is in none.
     """
-    whole = sum(sizes)
-    if whole <= 0 or quota <= 0:
-        return [0] * len(sizes)
-    passes, rest = divmod(quota, whole)
-    out = []
-    for n in sizes:
-        take = 0 < n <= rest
-        rest -= n * take
-        out.append(int(passes) + int(take))
+    out, at, end = [], 0, sum(sizes) // block_tokens * block_tokens
+    for k, n in enumerate(sizes):
+        done, n = 0, min(n, end - at)
+        while done < n:
+            block = at // block_tokens
+            take = min(n - done, (block + 1) * block_tokens - at)
+            out.append((k, block, done, done + take))
+            done += take
+            at += take
+    return out
+
+
+def draw(blocks: int, quota: int, key: str) -> list[int]:
+    """How often each block is used: as many full passes as fit, then the blocks that the key's order has first."""
+    if blocks <= 0:
+        return []
+    passes, rest = divmod(quota, blocks)
+    order = list(range(blocks))
+    random.Random(key).shuffle(order)
+    out = [passes] * blocks
+    for b in order[:rest]:
+        out[b] += 1
     return out
 
 
@@ -66,35 +80,38 @@ def mix(docs: DataFrame, targets: list[tuple[str, float, int]], total_tokens: in
     """Mix documents (doc_id, source, n_tokens) to target shares of tokens.
 
     ``targets``: (source, share, max_repeats), how often a document may be used in all. ``total_tokens``: size of the
-    mixture; by default the largest at which every source that has documents reaches its share. Beyond that, sources
-    at their cap fall short and the others fill up in proportion.
-
-    Returns (mixture, shares). Mixture: one row per document used, (doc_id, source, shard, block, n_tokens, uses);
-    every use counts its tokens once. Shares: one row per target, (source, target_share, tokens, actual_share,
-    capped). Documents of other sources, with NULL sources or without tokens aren't used. A block is a run of
-    whole documents in seeded order; where the quota's end falls inside a document, later ones that fit take its place,
-    so a source misses its quota by less than the smallest document that was left over in each shard.
+    mixture; by default the largest at which every source that has a block reaches its share. Beyond that, sources at
+    their cap fall short and the others fill up in proportion.
+
+    A source's documents are spread over shards, laid end to end there in seeded order, and cut into blocks of equal
+    tokens; what remains of a shard after its last block isn't used. Blocks are apportioned to sources, and a source's
+    to its shards, and each shard draws its own in seeded order, so a source has its quota to the token and long
+    documents are drawn as much as short ones.
+
+    Returns (mixture, shares). Mixture: one row per piece of a document used, (doc_id, source, shard, block, token_from,
+    token_to, n_tokens, uses); n_tokens are the piece's and every use counts them once. Shares: one row per target,
+    (source, target_share, tokens, actual_share, capped). Documents of other sources, with NULL sources or without
+    tokens aren't used; repeated rows are documents of their own. The seed fixes the result, whatever the files and the
+    number of tasks.
     """
     spark = docs.sparkSession
     root = workdir(spark, "mixture")
     named = {s: (float(w), int(r)) for s, w, r in targets if w is not None and w > 0 and r is not None and r > 0}
     kept = docs.filter(F.col("source").isin(list(named)) & (F.col("n_tokens") > 0)).select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens"))
-    kept = written(kept, f"{root}/sizes")
+    kept = written(told_apart(kept), f"{root}/sizes")
     sizes = {r.source: r.t for r in kept.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # one row per target
     shards = {s: max(1, math.ceil(t / shard_tokens)) for s, t in sizes.items()}
     per_source = spark.createDataFrame([(s, n) for s, n in shards.items()], "source string, shards int")
     placed = kept.join(F.broadcast(per_source), "source")  # as many rows as targets
-    # Place in the written table: spreads repeated ids over the shards and breaks ties of the order.
-    uid = F.monotonically_increasing_id()
-    placed = placed.select("doc_id", "source", "n_tokens", uid.alias("uid"), F.xxhash64("doc_id", uid, F.lit(seed)).alias("h"), "shards")
+    placed = placed.select("doc_id", "source", "n_tokens", "copy", F.xxhash64("doc_id", "n_tokens", "copy", F.lit(seed)).alias("h"), "shards")
     placed = placed.withColumn("shard", F.pmod(F.shiftright("h", 20), F.col("shards")).cast("int")).drop("shards")
     placed = written(placed, f"{root}/placed")
-    held = written(placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")), f"{root}/held")
+    held = placed.groupBy("source", "shard").agg(F.floor(F.sum("n_tokens") / block_tokens).alias("blocks"))
     limit = {s: r for s, (_, r) in named.items()}
     room = F.create_map(*[F.lit(x) for s, r in limit.items() for x in (s, r)]) if limit else F.create_map(F.lit(""), F.lit(0))
-    held = held.withColumn("cap", F.floor(F.col("tokens") * F.element_at(room, F.col("source")) / block_tokens))
+    held = written(held.withColumn("cap", F.col("blocks") * F.element_at(room, F.col("source"))), f"{root}/held")
     caps_of = {r.source: r.n for r in held.groupBy("source").agg(F.sum("cap").alias("n")).collect()}
-    there = sorted(caps_of)
+    there = sorted(s for s, n in caps_of.items() if n > 0)
     weights, caps = [named[s][0] for s in there], [caps_of[s] for s in there]
     norm = sum(weights) or 1.0
     most = math.floor(min((c * norm / w for c, w in zip(caps, weights, strict=True)), default=0))
@@ -103,19 +120,21 @@ def mix(docs: DataFrame, targets: list[tuple[str, float, int]], total_tokens: in
 
     def spread(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")
-        return pdf.assign(quota=sainte_lague(pdf["tokens"].astype(float).tolist(), pdf["cap"].astype(int).tolist(), quota[pdf["source"].iloc[0]]))[["source", "shard", "quota"]]
+        return pdf.assign(quota=sainte_lague(pdf["blocks"].astype(float).tolist(), pdf["cap"].astype(int).tolist(), quota.get(pdf["source"].iloc[0], 0)))[["source", "shard", "quota"]]
 
     quotas = held.groupBy("source").applyInPandas(spread, "source string, shard int, quota bigint")
+    names = ["doc_id", "source", "shard", "block", "token_from", "token_to", "n_tokens", "uses"]
 
     def select(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pdf = left.sort_values(["h", "uid"])
-        sizes = pdf["n_tokens"].astype(int).tolist()
-        blocks = int(right["quota"].iloc[0]) if len(right) else 0
-        pdf = pdf.assign(uses=fill(sizes, blocks * block_tokens), block=[int(b // block_tokens) for b in pdf["n_tokens"].cumsum() - pdf["n_tokens"]])
-        return pdf.loc[pdf["uses"] > 0, ["doc_id", "source", "shard", "block", "n_tokens", "uses"]]
+        pdf = left.sort_values(["h", "doc_id", "n_tokens", "copy"])
+        pieces = pd.DataFrame(cut_blocks(pdf["n_tokens"].astype(int).tolist(), block_tokens), columns=["at", "block", "token_from", "token_to"])
+        uses = draw(int(pdf["n_tokens"].sum()) // block_tokens, int(right["quota"].iloc[0]) if len(right) else 0, f"{seed}/{key[0]}/{key[1]}")
+        pieces = pieces.assign(uses=[uses[b] for b in pieces["block"]], n_tokens=pieces["token_to"] - pieces["token_from"], source=key[0], shard=key[1])
+        pieces["doc_id"] = pdf["doc_id"].astype("Int64").iloc[pieces["at"]].array if len(pieces) else pd.array([], dtype="Int64")
+        return pieces.loc[pieces["uses"] > 0, names]
 
     # One shard, whose tokens are bounded, in a task.
-    mixture = placed.groupBy("source", "shard").cogroup(quotas.groupBy("source", "shard")).applyInPandas(select, "doc_id bigint, source string, shard int, block bigint, n_tokens bigint, uses int")
+    mixture = placed.groupBy("source", "shard").cogroup(quotas.groupBy("source", "shard")).applyInPandas(select, "doc_id bigint, source string, shard int, block bigint, token_from bigint, token_to bigint, n_tokens bigint, uses int")
     mixture = written(mixture, f"{root}/mixture")
     used = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"))
     goal = spark.createDataFrame([(s, None if x is None else float(x), quota.get(s, 0) >= caps_of.get(s, 0)) for s, x, _ in targets], "source string, target_share double, capped boolean")
@@ -135,7 +154,7 @@ def _mixed(spark: SparkSession, sf_dir: str, tokenizer: str) -> tuple[DataFrame,
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The mixture: each document with how often it is used."""
+    """The mixture: pieces of documents with how often each is used."""
     return _mixed(spark, sf_dir, tokenizer)[0]
 
 

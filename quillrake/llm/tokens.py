@@ -7,7 +7,7 @@ import functools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,3 +40,18 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
             yield b.map(lambda t: count_tokens(t, path)).astype("int64")
 
     return F.pandas_udf(count, T.LongType())(F.coalesce(text, F.lit("")))
+
+
+def told_apart(sizes: DataFrame, step: int = 100_000) -> DataFrame:
+    """``sizes`` with ``copy bigint``: rows that are equal in all columns are numbered from 0.
+
+    What is ordered or hashed by all columns then depends neither on the files nor on the number of tasks. Equal rows
+    collapse in the map-side half of the aggregate and are written out again ``step`` at a time, in several tasks.
+    """
+    own = [F.col(f"`{c}`") for c in sizes.columns]
+    n = sizes.groupBy(*own).agg(F.count("*").alias("qt_n"))
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qt_n") - 1, F.lit(step).cast("bigint"))).alias("qt_first")
+    many = n.filter(F.col("qt_n") > step).select(*own, "qt_n", first).repartition(F.col("qt_first"), F.col("qt_n"))
+    parts = n.filter(F.col("qt_n") <= step).select(*own, "qt_n", F.lit(0).cast("bigint").alias("qt_first")).unionByName(many)
+    last = F.least(F.col("qt_n"), F.col("qt_first") + step) - 1
+    return parts.select(*own, F.explode(F.sequence("qt_first", last)).alias("copy"))

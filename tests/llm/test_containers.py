@@ -3,6 +3,7 @@ import random
 import pytest
 
 from quillrake.llm import containers as C
+from quillrake.llm.tokens import told_apart
 
 
 def brute(sizes, capacity):
@@ -63,3 +64,16 @@ def test_repeated_id_spreads_over_groups(spark):
     df = spark.range(3000).selectExpr("CAST(7 AS long) AS doc_id", "CAST(10 AS long) AS n_tokens")
     rows = C.pack(df, [("a", 100)], group_tokens=3000).groupBy("grp").count().collect()
     assert len(rows) == 10 and max(r["count"] for r in rows) < 600
+
+
+def test_the_seed_fixes_the_result_whatever_the_layout(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(rng.randint(0, 300), rng.randint(0, 150)) for _ in range(900)], "doc_id long, n_tokens long")
+    got = [sorted(tuple(r) for r in C.pack(x, [("s", 100)], group_tokens=9000).collect()) for x in (df, df.repartition(7, "n_tokens"), df.orderBy("n_tokens").coalesce(1))]
+    assert got[0] == got[1] == got[2] and len({r[1] for r in got[0]}) > 3
+
+
+def test_equal_rows_are_told_apart(spark):
+    df = spark.createDataFrame([(1, None)] * 25 + [(2, 5)] * 3 + [(None, 1)], "doc_id long, n_tokens long")
+    got = sorted((r.doc_id or 0, r.copy) for r in told_apart(df, step=10).collect())
+    assert got == [(0, 0), *((1, k) for k in range(25)), (2, 0), (2, 1), (2, 2)]
