@@ -114,6 +114,11 @@ class Lattice:
         bare = unquoted(v)
         return v if _PLAIN.search(bare) else bare
 
+    def keys(self) -> list[str]:
+        """Keys of the single stretches."""
+        out = [self.text[x:y] for x, y in zip(self.begins, self.ends, strict=True)]
+        return out if _ANY_QUOTE.search(self.text) is None else [self.key(i, i) for i in range(len(out))]
+
 
 def lattice(text: str) -> Lattice:
     spans = _quoted_spans(text) if _ANY_QUOTE.search(text) else []
@@ -142,20 +147,21 @@ def lattice(text: str) -> Lattice:
 
 @dataclass
 class Known:
-    """Values that several texts hold: ``counts`` of texts beside one's own, and the ``steps`` (number of stretches less
+    """Values that several texts hold: log probabilities of the ``scores``, and the ``steps`` (number of stretches less
     one) of those with delimiters inside, by their first stretch."""
 
-    counts: dict[str, float]
+    scores: dict[str, float]
     steps: dict[str, list[int]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, counts: dict[str, float]) -> Known:
+    def of(cls, counts: dict[str, float], total: float) -> Known:
+        """Of values and their expected numbers in other texts, of ``total`` values in all."""
         steps: dict[str, set[int]] = {}
         for v in counts:
             at = lattice(v)
             if at.forms:
                 steps.setdefault(at.key(0, 0), set()).add(len(at.forms))
-        return cls(counts, {k: sorted(s) for k, s in steps.items()})
+        return cls({v: math.log(c / total) for v, c in counts.items()}, {k: sorted(s) for k, s in steps.items()})
 
 
 @dataclass
@@ -168,96 +174,114 @@ class Model:
     novel: float
     letter: float
 
-    def scored(self, lat: Lattice, known: Known) -> tuple[list[tuple[int, int, float]], list[float], list[float], list[float], float]:
-        """Edges of known values (i, j, score); by stretch the cost of spelling it; by delimiter the scores of cutting
-        there and of spelling on over it; the score of beginning to spell."""
-        n, b, e = len(lat.begins), lat.begins, lat.ends
-        sep = [self.separates[f] if f in self.separates else prior(f) for f in lat.forms]
-        cut, whole = [math.log(p) for p in sep], math.log(self.total)
-        join = [math.log1p(-p) for p in sep]
-        on = [x - self.letter * (b[k + 1] - e[k]) for k, x in enumerate(join)]
-        spell = [-self.letter * (y - x) for x, y in zip(b, e, strict=True)]
-        edges, counts, steps = [], known.counts, known.steps
-        for i in range(n):
-            v = lat.key(i, i)
-            if not v:
-                edges.append((i, i, 0.0))  # an empty value costs nothing: it is dropped
-            elif v in counts:
-                edges.append((i, i, math.log(counts[v]) - whole))
-            if v in steps:
-                for m in steps[v]:
-                    if i + m < n and (c := counts.get(lat.key(i, i + m))):
-                        edges.append((i, i + m, math.log(c) - whole + sum(join[i : i + m])))
-        return edges, spell, cut, on, math.log(self.novel) - whole
+    @functools.cached_property
+    def logs(self) -> dict[str, tuple[float, float]]:
+        return {f: (math.log(p), math.log1p(-p)) for f, p in self.separates.items()}
+
+    def scored(self, lat: Lattice, known: Known) -> tuple[list[float], list[tuple[int, int, float]], list[float], list[float], list[float], float]:
+        """By stretch the score of its known value (-inf if it is none); edges of known values of several stretches
+        (i, j, score); by stretch the cost of spelling it; by delimiter the scores of cutting there and of spelling on
+        over it; the score of beginning to spell."""
+        b, e, letter, logs = lat.begins, lat.ends, self.letter, self.logs
+        cut, on = [], []
+        for k, f in enumerate(lat.forms):
+            c, j = logs[f] if f in logs else (math.log(prior(f)), math.log1p(-prior(f)))
+            cut.append(c)
+            on.append(j - letter * (b[k + 1] - e[k]))
+        keys = lat.keys()
+        get = known.scores.get
+        single = [get(v, -math.inf) if v else 0.0 for v in keys]  # an empty value costs nothing: it is dropped
+        several = []
+        for i, v in enumerate(keys):
+            if v in known.steps:
+                for m in known.steps[v]:
+                    if i + m < len(keys) and (s := get(lat.key(i, i + m))) is not None:
+                        several.append((i, i + m, s + sum(x + letter * (b[k + 1] - e[k]) for k, x in enumerate(on[i : i + m], i))))
+        return single, several, [letter * (x - y) for x, y in zip(b, e, strict=True)], cut, on, math.log(self.novel / self.total)
 
     def expect(self, lat: Lattice, known: Known, least: float = 1e-3) -> tuple[list[tuple[str, float]], list[float]]:
         """Expected values of a text (value, probability), those below ``least`` left out, and for each delimiter the
         probability that it separates."""
-        edges, spell, cut, on, start = self.scored(lat, known)
-        n = len(spell)
-        into: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for i, j, s in edges:
-            into[j].append((i, s))
-        # Score of all readings up to a stretch that end a value there, cut included (end), or spell on (inside).
-        end, inside, h = [0.0] * n, [0.0] * n, -math.inf
+        single, several, spell, cut, on, start = self.scored(lat, known)
+        n, low, exp, log1p = len(spell), math.log(least), math.exp, math.log1p
+        cut = [*cut, 0.0]
+        into: dict[int, list[tuple[int, float]]] = {}
+        out_of: dict[int, list[tuple[int, float]]] = {}
+        for i, j, s in several:
+            into.setdefault(j, []).append((i, s))
+            out_of.setdefault(i, []).append((j, s))
+        # Score of all readings up to a stretch that end a value there, cut included (end), or spell on (h).
+        end, h, before = [0.0] * n, -math.inf, 0.0
         for k in range(n):
-            before = end[k - 1] if k else 0.0
-            h = _add(before + start, h + on[k - 1] if k else -math.inf) + spell[k]
-            inside[k], s = h, h
-            for i, x in into[k]:
+            x, y = before + start, (h + on[k - 1] if k else -math.inf)
+            if y > x:
+                x, y = y, x
+            h = (x + log1p(exp(y - x)) if y - x > -30 else x) + spell[k]
+            x, y = h, before + single[k]
+            if y > x:
+                x, y = y, x
+            s = x + log1p(exp(y - x)) if y - x > -30 else x
+            for i, x in into.get(k, ()):
                 s = _add(s, (end[i - 1] if i else 0.0) + x)
-            end[k] = s + cut[k] if k < n - 1 else s
-        z = end[n - 1]
-        out_of: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for i, j, s in edges:
-            out_of[i].append((j, s))
+            end[k] = before = s + cut[k]
+        z = before
         # Score of all readings from a stretch on: a value begins there (begin), or one that is spelled goes on (rest).
-        begin, rest, r = [0.0] * (n + 1), [0.0] * n, -math.inf
+        begin, rest, r, after = [0.0] * (n + 1), [0.0] * n, -math.inf, 0.0
         for k in range(n - 1, -1, -1):
-            after = begin[k + 1] + (cut[k] if k < n - 1 else 0.0)
-            r = _add(after, r + on[k] + spell[k + 1] if k < n - 1 else -math.inf)
-            rest[k], s = r, start + spell[k] + r
-            for j, x in out_of[k]:
-                s = _add(s, x + begin[j + 1] + (cut[j] if j < n - 1 else 0.0))
-            begin[k] = s
+            x, y = after + cut[k], (r + on[k] + spell[k + 1] if k < n - 1 else -math.inf)
+            if y > x:
+                x, y = y, x
+            rest[k] = r = x + log1p(exp(y - x)) if y - x > -30 else x
+            x, y = start + spell[k] + r, single[k] + cut[k] + after
+            if y > x:
+                x, y = y, x
+            s = x + log1p(exp(y - x)) if y - x > -30 else x
+            for j, x in out_of.get(k, ()):
+                s = _add(s, x + cut[j] + begin[j + 1])
+            begin[k] = after = s
         out: dict[str, float] = {}
-        for i, j, s in edges:
-            p = math.exp(min(0.0, (end[i - 1] if i else 0.0) + s + (cut[j] if j < n - 1 else 0.0) + begin[j + 1] - z))
-            if p >= least and (v := lat.key(i, j)):
-                out[v] = out.get(v, 0.0) + p
+
+        def add(i: int, j: int, q: float) -> None:
+            if q >= low and (v := lat.key(i, j)):
+                out[v] = out.get(v, 0.0) + exp(min(0.0, q))
+
         for i in range(n):
-            s = (end[i - 1] if i else 0.0) + start + spell[i] - z
+            s = (end[i - 1] if i else 0.0) - z
+            add(i, i, s + single[i] + cut[i] + begin[i + 1])
+            for j, x in out_of.get(i, ()):
+                add(i, j, s + x + cut[j] + begin[j + 1])
+            s += start + spell[i]
             for j in range(i, n):
-                if s + rest[j] < math.log(least):  # probability that a spelled value from i on holds j
+                if s + rest[j] < low:  # probability that a spelled value from i on holds j
                     break
-                p = math.exp(min(0.0, s + (cut[j] if j < n - 1 else 0.0) + begin[j + 1]))
-                if p >= least and (v := lat.key(i, j)):
-                    out[v] = out.get(v, 0.0) + p
+                add(i, j, s + cut[j] + begin[j + 1])
                 if j < n - 1:
                     s += on[j] + spell[j + 1]
-        return list(out.items()), [math.exp(min(0.0, end[k] + begin[k + 1] - z)) for k in range(n - 1)]
+        return list(out.items()), [exp(min(0.0, end[k] + begin[k + 1] - z)) for k in range(n - 1)]
 
     def best(self, lat: Lattice, known: Known) -> list[str]:
         """Values of the best reading; of equally good ones that with known values, then that with fewer cuts."""
         if not lat.forms:
             v = lat.value(0, 0)
             return [v] if v else []
-        edges, spell, cut, on, start = self.scored(lat, known)
+        single, several, spell, cut, on, start = self.scored(lat, known)
         n = len(spell)
-        into: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for i, j, s in edges:
-            into[j].append((i, s))
-        end, came, h, begun = [0.0] * n, [0] * n, -math.inf, 0
+        into: dict[int, list[tuple[int, float]]] = {}
+        for i, j, s in several:
+            into.setdefault(j, []).append((i, s))
+        end, came, h, begun, before = [0.0] * n, [0] * n, -math.inf, 0, 0.0
         for k in range(n):
-            fresh = (end[k - 1] if k else 0.0) + start
-            going = h + on[k - 1] if k else -math.inf
+            fresh, going = before + start, (h + on[k - 1] if k else -math.inf)
             h, begun = (going + spell[k], begun) if going >= fresh else (fresh + spell[k], k)
             top, at = h, begun
-            for i, x in into[k]:
+            if before + single[k] >= top:
+                top, at = before + single[k], k
+            for i, x in into.get(k, ()):
                 s = (end[i - 1] if i else 0.0) + x
                 if s >= top:
                     top, at = s, i
             end[k], came[k] = (top + cut[k] if k < n - 1 else top), at
+            before = end[k]
         out, k = [], n - 1
         while k >= 0:
             if v := lat.value(came[k], k):
@@ -302,23 +326,24 @@ Read = Callable[[str, dict | None], tuple[list[tuple[str, float]], list[float],
 def _sums(read: Read):
     """Partial sums of what texts are expected to hold: (kind, v, s, n) with values (kind 0) and forms (kind 1)."""
 
-    def rows(held: dict) -> pd.DataFrame:
-        return pd.DataFrame([(k, v, s, n) for (k, v), (s, n) in held.items()], columns=["kind", "v", "s", "n"])
+    def rows(held: list[tuple[dict, dict]]) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"kind": k, "v": pd.Series(list(s), dtype=object), "s": list(s.values()), "n": list(n.values())}) for k, (s, n) in enumerate(held)]).astype({"kind": "int32", "s": float, "n": "int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, str], tuple[float, int]] = {}
+        held: list[tuple[dict[str, float], dict[str, int]]] = [({}, {}), ({}, {})]
         for b in batches:
+            (vs, vn), (fs, fn) = held
             for text, near in zip(b["text"], b["near"] if "near" in b else itertools.repeat(None), strict=False):
                 values, cuts, forms = read(text, near)
-                for v, p in values:
-                    s, n = held.get((0, v), (0.0, 0))
-                    held[0, v] = (s + min(p, 1.0), n + 1)  # a text counts once for a value, however often it holds it
+                for v, p in values:  # a text counts once for a value, however often it holds it
+                    vs[v] = vs.get(v, 0.0) + min(p, 1.0)
+                    vn[v] = vn.get(v, 0) + 1
                 for f, p in zip(forms, cuts, strict=True):
-                    s, n = held.get((1, f), (0.0, 0))
-                    held[1, f] = (s + p, n + 1)
-            if len(held) > 200_000:
+                    fs[f] = fs.get(f, 0.0) + p
+                    fn[f] = fn.get(f, 0) + 1
+            if len(vs) > 200_000:
                 yield rows(held)
-                held = {}
+                held = [({}, {}), ({}, {})]
         yield rows(held)
 
     return run
@@ -349,25 +374,25 @@ class Splitter:
         found = rows.mapInPandas(sums, "kind int, v string, s double, n long").groupBy("kind", "v").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
         found = written(found, f"{self.root}/round-{k}")
         forms = found.filter("kind = 1").collect()  # a few per pair of delimiters
-        self.model.separates = {r.v: min((r.s + prior(r.v)) / (r.n + 1.0), 1 - 1e-12) for r in forms}
+        separates = {r.v: min((r.s + prior(r.v)) / (r.n + 1.0), 1 - 1e-12) for r in forms}
         # A text's own share doesn't tell of its values, so the mean share of a text is taken off each count.
         values = found.filter("kind = 0").select("v", "s", (F.col("s") - F.col("s") / F.col("n")).alias("c"))
         self.table = values.filter(F.col("c") >= LEAST).select("v", "c")
         known = F.col("c") >= LEAST
         size = values.agg(F.sum("s").alias("total"), F.sum(F.when(known, F.col("c"))).alias("known"), F.sum(F.when(known, F.octet_length("v") + 100)).alias("bytes")).first()
-        self.model.total = (size.total or 0.0) + 1.0
-        self.model.novel = self.model.total - (size.known or 0.0)
+        total = (size.total or 0.0) + 1.0
+        self.model = Model(separates, total, total - (size.known or 0.0), self.model.letter)
         if self.shared is not None:
             self.shared.destroy()
         self.shared = None
         if (size.bytes or 0) <= self.known_bytes:
-            self.shared = self.spark.sparkContext.broadcast(Known.of({r.v: r.c for r in self.table.collect()}))
+            self.shared = self.spark.sparkContext.broadcast(Known.of({r.v: r.c for r in self.table.collect()}, self.model.total))
 
     def _reader(self, read) -> Read:
-        shared = self.shared
+        shared, total = self.shared, self.model.total
 
         def run(text: str, near: dict | None) -> tuple[list[tuple[str, float]], list[float], list[str]]:
-            return read(text, Known.of(dict(near or {})) if shared is None else shared.value)
+            return read(text, Known.of(dict(near or {}), total) if shared is None else shared.value)
 
         return run
 

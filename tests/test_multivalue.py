@@ -37,7 +37,7 @@ def readings(model, lat, known):
                     if spelled:
                         s += math.log(model.novel) - whole - model.letter * (lat.ends[j] - lat.begins[i])
                     else:
-                        s += math.log(known.counts[v]) - whole if v in known.counts else (0.0 if not v else -math.inf)
+                        s += known.scores[v] if v in known.scores else (0.0 if not v else -math.inf)
                 if s > -math.inf:
                     out[tuple(spans), kinds] = s
     return out
@@ -50,7 +50,7 @@ def test_lattice_against_enumeration():
         lat = V.lattice(text)
         n = len(lat.begins)
         spans = [lat.value(i, j) for i in range(n) for j in range(i, n)]
-        known = V.Known.of({v: rng.uniform(0.1, 5) for v in spans if v and rng.random() < 0.4})
+        known = V.Known.of({v: rng.uniform(0.1, 5) for v in spans if v and rng.random() < 0.4}, 20.0)
         model = V.Model({f: rng.uniform(0.05, 0.95) for f in lat.forms}, 20.0, 3.0, 0.4)
         table = readings(model, lat, known)
         z = sum(map(math.exp, table.values()))
