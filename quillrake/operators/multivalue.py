@@ -18,6 +18,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -259,6 +260,61 @@ class Model:
                     s += on[j] + spell[j + 1]
         return list(out.items()), [exp(min(0.0, end[k] + begin[k + 1] - z)) for k in range(n - 1)]
 
+    def expect_all(self, lats: list[Lattice], known: Known, least: float = 1e-3) -> Iterator[tuple[list[tuple[str, float]], list[float], list[str]]]:
+        """``expect`` of many texts, with their forms: those of equally many stretches are summed at once, unless a known
+        value of several stretches is in them."""
+        groups: dict[int, tuple[list[Lattice], list[list[str]]]] = {}
+        for lat in lats:
+            if not lat.forms:  # one value for certain
+                v = lat.key(0, 0)
+                yield ([(v, 1.0)] if v else []), [], []
+                continue
+            keys = lat.keys()
+            if len(keys) > 24 or any(lat.key(i, i + m) in known.scores for i, v in enumerate(keys) if v in known.steps for m in known.steps[v] if i + m < len(keys)):
+                yield (*self.expect(lat, known, least), lat.forms)
+                continue
+            of = groups.setdefault(len(keys), ([], []))
+            of[0].append(lat)
+            of[1].append(keys)
+        for n, (own, keys) in groups.items():
+            yield from self._expect_group(n, own, keys, known, least)
+
+    def _expect_group(self, n: int, lats: list[Lattice], keys: list[list[str]], known: Known, least: float) -> Iterator[tuple[list[tuple[str, float]], list[float], list[str]]]:
+        get, logs, add = known.scores.get, self.logs, np.logaddexp
+        for f in {f for lat in lats for f in lat.forms} - logs.keys():
+            logs[f] = math.log(prior(f)), math.log1p(-prior(f))
+        begins, ends = np.array([x.begins for x in lats]), np.array([x.ends for x in lats])
+        single = np.array([[get(v, -math.inf) if v else 0.0 for v in ks] for ks in keys])
+        pairs = np.array([[logs[f] for f in x.forms] for x in lats])
+        cut = np.concatenate([pairs[:, :, 0], np.zeros((len(lats), 1))], axis=1)
+        on, spell, start = pairs[:, :, 1] - self.letter * (begins[:, 1:] - ends[:, :-1]), self.letter * (begins - ends), math.log(self.novel / self.total)
+        end, begin, rest = np.zeros((n, len(lats))), np.zeros((n + 1, len(lats))), np.zeros((n, len(lats)))
+        before = np.zeros(len(lats))
+        for k in range(n):
+            h = (add(before + start, h + on[:, k - 1]) if k else before + start) + spell[:, k]
+            end[k] = before = add(h, before + single[:, k]) + cut[:, k]
+        for k in range(n - 1, -1, -1):
+            after = begin[k + 1] + cut[:, k]
+            rest[k] = r = add(after, r + on[:, k] + spell[:, k + 1]) if k < n - 1 else after
+            begin[k] = add(start + spell[:, k] + r, single[:, k] + after)
+        low, found = math.log(least), [[] for _ in lats]
+        for i in range(n):
+            s = (end[i - 1] if i else 0.0) - before
+            whole = add(s + start + spell[:, i], s + single[:, i]) + cut[:, i] + begin[i + 1]  # this one stretch, known or spelled
+            for b in np.flatnonzero(whole >= low).tolist():
+                if v := keys[b][i]:
+                    found[b].append((v, math.exp(min(0.0, whole[b]))))
+            s = s + start + spell[:, i]
+            for j in range(i + 1, n):
+                s = s + on[:, j - 1] + spell[:, j]
+                if not (s + rest[j] >= low).any():
+                    break
+                for b in np.flatnonzero(s + cut[:, j] + begin[j + 1] >= low).tolist():
+                    found[b].append((lats[b].key(i, j), math.exp(min(0.0, s[b] + cut[b, j] + begin[j + 1][b]))))
+        cuts = np.exp(np.minimum(0.0, end + begin[1:] - before)).T.tolist()
+        for values, c, lat in zip(found, cuts, lats, strict=True):
+            yield values, c[:-1], lat.forms
+
     def best(self, lat: Lattice, known: Known) -> list[str]:
         """Values of the best reading; of equally good ones that with known values, then that with fewer cuts."""
         if not lat.forms:
@@ -320,10 +376,10 @@ def _first_guess(lat: Lattice, least: float = 0.01, alike: float = 0.25) -> tupl
     return list(out.items()), cuts
 
 
-Read = Callable[[str, dict | None], tuple[list[tuple[str, float]], list[float], list[str]]]
+Sums = Iterator[tuple[list[tuple[str, float]], list[float], list[str]]]
 
 
-def _sums(read: Read):
+def _sums(read: Callable[[list[str], list | None], Sums]):
     """Partial sums of what texts are expected to hold: (kind, v, s, n) with values (kind 0) and forms (kind 1)."""
 
     def rows(held: list[tuple[dict, dict]]) -> pd.DataFrame:
@@ -333,10 +389,9 @@ def _sums(read: Read):
         held: list[tuple[dict[str, float], dict[str, int]]] = [({}, {}), ({}, {})]
         for b in batches:
             (vs, vn), (fs, fn) = held
-            for text, near in zip(b["text"], b["near"] if "near" in b else itertools.repeat(None), strict=False):
-                values, cuts, forms = read(text, near)
-                for v, p in values:  # a text counts once for a value, however often it holds it
-                    vs[v] = vs.get(v, 0.0) + min(p, 1.0)
+            for values, cuts, forms in read(b["text"].tolist(), b["near"].tolist() if "near" in b else None):
+                for v, p in values:
+                    vs[v] = vs.get(v, 0.0) + p
                     vn[v] = vn.get(v, 0) + 1
                 for f, p in zip(forms, cuts, strict=True):
                     fs[f] = fs.get(f, 0.0) + p
@@ -365,7 +420,7 @@ class Splitter:
         self.shared = None
         self._learn(_sums(_guess), self.texts, 0)
         for k in range(1, rounds + 1):
-            reader, rows = self._reader(_expected(self.model)), self._with_known()
+            reader, rows = _expected(self.model, self.shared), self._with_known()
             self._learn(_sums(reader), rows, k)
             delete_path(self.spark, f"{self.root}/round-{k - 1}")
 
@@ -388,14 +443,6 @@ class Splitter:
         if (size.bytes or 0) <= self.known_bytes:
             self.shared = self.spark.sparkContext.broadcast(Known.of({r.v: r.c for r in self.table.collect()}, self.model.total))
 
-    def _reader(self, read) -> Read:
-        shared, total = self.shared, self.model.total
-
-        def run(text: str, near: dict | None) -> tuple[list[tuple[str, float]], list[float], list[str]]:
-            return read(text, Known.of(dict(near or {}), total) if shared is None else shared.value)
-
-        return run
-
     def _with_known(self) -> DataFrame:
         """The distinct texts, with the known values that each may hold (``near``) where these aren't broadcast."""
         if self.shared is not None:
@@ -426,37 +473,34 @@ class Splitter:
         if self.shared is not None:
             vals = F.pandas_udf(_split(self.model, self.shared), T.ArrayType(T.StringType()))(F.coalesce(F.col(f"`{text}`"), F.lit("")))
             return df.select(*own, vals.alias("vals"))
-        read = self._reader(_decided(self.model))
+        model = self.model
 
         def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({"qr_text": b["text"], "qr_vals": [read(t, m) for t, m in zip(b["text"], b["near"], strict=True)]})
+                yield pd.DataFrame({"qr_text": b["text"], "qr_vals": [model.best(lattice(t), Known.of(dict(m or {}), model.total)) for t, m in zip(b["text"], b["near"], strict=True)]})
 
         # One row per distinct text; adaptive execution splits hot texts of the other side.
         done = written(self._with_known().mapInPandas(decide, "qr_text string, qr_vals array<string>"), f"{self.root}/decided")
         return df.join(done, df[text] == done["qr_text"], "left").select(*own, F.coalesce("qr_vals", none).alias("vals"))
 
 
-def _guess(text: str, _) -> tuple[list[tuple[str, float]], list[float], list[str]]:
-    lat = lattice(text)
-    return (*_first_guess(lat), lat.forms)
+def _guess(texts: list[str], _) -> Sums:
+    for t in texts:
+        lat = lattice(t)
+        yield (*_first_guess(lat), lat.forms)
 
 
-def _expected(model: Model):
-    def run(text: str, known: Known) -> tuple[list[tuple[str, float]], list[float], list[str]]:
-        lat = lattice(text)
-        if not lat.forms:  # one value for certain
-            v = lat.key(0, 0)
-            return ([(v, 1.0)] if v else []), [], []
-        return (*model.expect(lat, known), lat.forms)
+def _expected(model: Model, shared):
+    def run(texts: list[str], near: list | None) -> Sums:
+        if shared is not None:
+            yield from model.expect_all([lattice(t) for t in texts], shared.value)
+            return
+        for t, m in zip(texts, near, strict=True):
+            yield from model.expect_all([lattice(t)], Known.of(dict(m or {}), model.total))
 
     return run
 
 
-def _decided(model: Model):
-    return lambda text, known: model.best(lattice(text), known)
-
-
 def _longest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         yield pd.DataFrame({"n": [max((len(lattice(v).forms) for v in b["v"]), default=0)]}, dtype="int32")

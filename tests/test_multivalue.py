@@ -63,6 +63,9 @@ def test_lattice_against_enumeration():
         values, cuts = model.expect(lat, known, 1e-12)
         assert all(abs(x - y) < 1e-6 for x, y in zip(cuts, cut, strict=True))
         assert {v for v in want if v and want[v] > 1e-9} <= {v for v, _ in values} and all(abs(p - want[v]) < 1e-6 for v, p in values)
+        (whole, together, _), = model.expect_all([lat], known, 1e-12)
+        assert all(abs(x - y) < 1e-9 for x, y in zip(together, cuts, strict=True))
+        assert lat.forms == [] or all(abs(sum(p for v, p in whole if v == k) - w) < 1e-9 for k, w in values)
         best = max(table.values())
         found = [[v for v in (lat.value(*x) for x in way) if v] for (way, _), s in table.items() if s > best - 1e-9]
         assert model.best(lat, known) in found
