@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import functools
+from calendar import isleap
 from collections.abc import Iterable
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo, available_timezones
 
-#: Years that the interval table covers; a local time outside of them has no offset.
-YEARS = (1900, 2200)
+#: Years that the interval table covers: from before the first change of any zone's clock to where all of them follow a
+#: yearly rule, and on until a year of each kind (leap or not, weekday of its first day) has come.
+YEARS = (1800, 2130)
+RULED = 2088
+
+
+def year_kinds() -> dict[int, int]:
+    """A covered year that follows the yearly rules, for each kind of year: weekday of its first day, from Sunday 0, and 7 more if it is a leap year."""
+    out: dict[int, int] = {}
+    for y in range(RULED, YEARS[1]):
+        out.setdefault((date(y, 1, 1).weekday() + 1) % 7 + 7 * isleap(y), y)
+    return out
 
 #: Usual abbreviations of zones for which the tz database has numeric names only, in minutes.
 NUMERIC_ZONE_ABBREVIATIONS = {

@@ -24,7 +24,7 @@ INTERVALS = T.StructType([
 def interval_table(spark: SparkSession, names: list[str]) -> DataFrame:
     """Intervals of the zones named, hinted for broadcast if they are small; unknown names are left out.
 
-    The tz database bounds them: 600 zones with 300 years each at most.
+    The tz database bounds them: 600 zones with 330 years each at most.
     """
     rows = zones.local_intervals(n for n in names if zones.known(n))
     table = spark.createDataFrame(rows, INTERVALS)
@@ -39,6 +39,20 @@ def zone_names(texts: DataFrame, text: str, providers: DataFrame) -> list[str]:
     return [r.z for r in found.collect() if r.z and zones.known(r.z)]
 
 
+def covered_ms(local: Column) -> Column:
+    """A local time in the years of the interval table at which the clock stands as it does at ``local``.
+
+    Before them no zone's clock was ever changed. After them all follow a yearly rule, so a year of the same kind tells.
+    """
+    y = F.year(F.timestamp_millis(local))
+    first = lambda year: F.unix_date(F.make_date(year, F.lit(1), F.lit(1))).cast("long") * 86400000
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    kinds = F.create_map(*[F.lit(x) for kind, year in zones.year_kinds().items() for x in (kind, year)])
+    kind = F.dayofweek(F.make_date(y, F.lit(1), F.lit(1))) - 1 + F.when(leap, 7).otherwise(0)
+    late = local - first(y) + first(F.element_at(kinds, kind))
+    return F.when(y < zones.YEARS[0], first(F.lit(zones.YEARS[0]))).when(y >= zones.YEARS[1], late).otherwise(local)
+
+
 def to_utc(df: DataFrame, text: str, intervals: DataFrame, zone: str, date_order: str) -> DataFrame:
     """``df`` with ``utc_ms bigint`` and ``moment_status string`` for the texts in column ``text``.
 
@@ -69,11 +83,12 @@ def to_utc(df: DataFrame, text: str, intervals: DataFrame, zone: str, date_order
     a = a.select(
         *own, "qr_epoch", "qr_local", "qr_written", "qr_fixed",
         F.when(needs & named, F.col("qr_written")).when(needs, F.col("qr_home")).alias("qr_zone"),
-        F.when(needs, F.year(F.timestamp_millis("qr_local"))).alias("qr_year"),
+        F.when(needs, covered_ms(F.col("qr_local"))).alias("qr_clock"),
         F.when(needs & ~named, F.upper(F.nullif("qr_written", F.lit("")))).alias("qr_abbr"),
     )
+    a = a.withColumn("qr_year", F.year(F.timestamp_millis("qr_clock")))
     j = a.join(intervals, ["qr_zone", "qr_year"], "left")
-    here = F.filter("qr_spans", lambda s: (s["lo"] <= F.col("qr_local")) & (F.col("qr_local") < s["hi"]))
+    here = F.filter("qr_spans", lambda s: (s["lo"] <= F.col("qr_clock")) & (F.col("qr_clock") < s["hi"]))
     j = j.select(*own, "qr_epoch", "qr_local", "qr_fixed", "qr_abbr", "qr_spans", here.alias("qr_here"))
     said = F.filter("qr_here", lambda s: F.upper(s["abbr"]) == F.col("qr_abbr"))
     year = F.filter("qr_spans", lambda s: F.upper(s["abbr"]) == F.col("qr_abbr"))

@@ -107,3 +107,15 @@ def test_join_is_broadcast_and_reads_few_columns(spark):
     plan = M.to_utc(df, "raw", M.interval_table(spark, ["UTC"]), "z", "o")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
     assert F is not None
+
+
+@pytest.mark.parametrize("zone", ["Europe/Berlin", "America/New_York", "Australia/Sydney", "Africa/Casablanca", "Asia/Kolkata", "America/Santiago"])
+def test_any_year_against_zoneinfo(spark, zone):
+    z = ZoneInfo(zone)
+    local = [datetime(y, m, d, h, 30) for y in (1, 1700, 1850, 1899, 1950, 2087, 2129, 2130, 2200, 2345, 2400, 3001, 9998) for m, d in ((1, 1), (3, 31), (7, 2), (10, 30), (12, 31)) for h in (0, 2, 23)]
+    want = [int(t.replace(tzinfo=z).timestamp()) * 1000 for t in local]
+    assert [g[0] for g in read(spark, [(t.isoformat(sep=" "), zone, "dmy") for t in local])] == want
+
+
+def test_texts_with_the_mark_of_found_parts_are_unreadable(spark):
+    assert read(spark, [("ymd|2025|1|1|1|1|1||||", "UTC", "dmy")]) == [(None, "unreadable")]
