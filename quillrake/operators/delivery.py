@@ -114,6 +114,17 @@ def queue_transport(clients: dict[str, Callable[[dict, str, dict], None]]) -> Tr
     return send
 
 
+def unsupported(sinks: list[dict], transports: dict[str, Transport], clients: dict[str, Callable]) -> str | None:
+    """What keeps the first such sink from being built: its type has no transport, or its queue no client."""
+    for s in sinks:
+        kind = (s["type"] or "").strip().lower()
+        if kind not in transports:
+            return f"no transport for type {s['type']} of sink {s['id']}"
+        if kind == "queue" and s["queue"]["provider"] not in clients:
+            return f"no client for queue provider {s['queue']['provider']} of sink {s['id']}"
+    return None
+
+
 def routed(transports: dict[str, Transport]) -> Transport:
     """Transport by the sink's type, compared in small letters."""
     table = {k.strip().lower(): v for k, v in transports.items()}

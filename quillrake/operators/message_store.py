@@ -133,7 +133,7 @@ class MessageStore:
         lost_path = f"{self.root}/dropped/batch-{n}"
         losers.withColumn("batch", F.lit(n).cast("bigint")).write.mode("overwrite").parquet(lost_path)
         lost = self.spark.read.parquet(lost_path).select(self.order)
-        lost = F.broadcast(lost) if lost.count() * 16 <= BROADCAST_LIMIT_BYTES else lost
+        lost = F.broadcast(lost) if lost.count() * 64 <= BROADCAST_LIMIT_BYTES else lost
         # Rows of the affected partitions that lie in them go to new versions; every other partition is only added to.
         kept = rows.join(lost, self.order, "left_anti").withColumn("qr_part", F.col(self.part))
         state = json.loads(json.dumps(self.state))

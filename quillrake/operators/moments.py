@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import moments as M
 from ..functions import zones
-from ..session import BROADCAST_LIMIT_BYTES
+from ..session import small
 
 INTERVALS = T.StructType([
     T.StructField("qr_zone", T.StringType()),
@@ -27,8 +27,7 @@ def interval_table(spark: SparkSession, names: list[str]) -> DataFrame:
     The tz database bounds them: 600 zones with 330 years each at most.
     """
     rows = zones.local_intervals(n for n in names if zones.known(n))
-    table = spark.createDataFrame(rows, INTERVALS)
-    return F.broadcast(table) if len(rows) * 200 <= BROADCAST_LIMIT_BYTES else table
+    return small(spark.createDataFrame(rows, INTERVALS))
 
 
 def zone_names(texts: DataFrame, text: str, providers: DataFrame) -> list[str]:
@@ -116,17 +115,12 @@ def provider_zones(providers: DataFrame) -> DataFrame:
     return providers.select(F.col("id").alias("provider_id"), F.trim(F.col("config")["timezone"]).alias("zone"), F.lower(F.trim(F.col("config")["date_order"])).alias("date_order"))
 
 
-def small(spark: SparkSession, df: DataFrame, row_bytes: int = 200) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are few enough, as it is otherwise."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_LIMIT_BYTES else df
-
-
 def with_instants(df: DataFrame, text: str, providers: DataFrame) -> DataFrame:
     """``df`` (with ``provider_id`` and the column ``text``) with ``utc_ms`` and ``moment_status`` as ``to_utc`` has them."""
     spark = df.sparkSession
     spans = interval_table(spark, zone_names(df, text, providers))
     home = provider_zones(providers).select(F.col("provider_id").alias("qh_id"), F.col("zone").alias("qh_zone"), F.col("date_order").alias("qh_order"))
-    joined = df.join(small(spark, home), df["provider_id"] == home["qh_id"], "left").drop("qh_id")
+    joined = df.join(small(home), df["provider_id"] == home["qh_id"], "left").drop("qh_id")
     return to_utc(joined, text, spans, "qh_zone", "qh_order").drop("qh_zone", "qh_order")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import utrim
-from ..session import BROADCAST_LIMIT_BYTES
+from ..session import small
 
 DEFAULT_DELAY_MS, DEFAULT_TIMEOUT_S, DEFAULT_METHOD = 500, 5, "POST"
 
@@ -59,6 +59,12 @@ def repeated_ids(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
+def by_id(rows: DataFrame, key: str | None) -> dict | None:
+    """The row of a cleaned registry with an id, which is trimmed first; None if there is none."""
+    got = rows.filter(F.col("id") == utrim(F.lit(key))).limit(1).collect()
+    return got[0].asDict(recursive=True) if got else None
+
+
 def sanitize_sinks(sinks: DataFrame) -> DataFrame:
     """Trimmed fields, defaults for enabled, method and timeout; headers without blank names or values, NULL if none is left."""
 
@@ -116,10 +122,8 @@ def resolve_fetchers(providers: DataFrame, fetchers: DataFrame) -> DataFrame:
     """
     key = F.lower(utrim(F.col("key")))
     keys = fetchers.select(F.col("key_kind"), key.alias("k"), "fetcher").filter("k <> ''")
-    if keys.count() * 200 <= BROADCAST_LIMIT_BYTES:
-        keys = F.broadcast(keys)
-    by_id = keys.filter("key_kind = 'id'").select(F.col("k").alias("qi"), F.col("fetcher").alias("by_id"))
-    by_type = keys.filter("key_kind = 'type'").select(F.col("k").alias("qt"), F.col("fetcher").alias("by_type"))
+    by_id = small(keys).filter("key_kind = 'id'").select(F.col("k").alias("qi"), F.col("fetcher").alias("by_id"))
+    by_type = small(keys).filter("key_kind = 'type'").select(F.col("k").alias("qt"), F.col("fetcher").alias("by_type"))
     a = providers.withColumns({"ki": F.lower(_clean("id")), "kt": F.lower(_clean("type"))})
     j = a.join(by_id, a["ki"] == F.col("qi"), "left").join(by_type, a["kt"] == F.col("qt"), "left")
     blank = F.col("ki") == ""

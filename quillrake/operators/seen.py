@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SEEN
-from ..session import BROADCAST_LIMIT_BYTES, delete_path
+from ..session import delete_path, small
 
 log = logging.getLogger("quillrake")
 
@@ -24,12 +24,10 @@ def alive(seen: DataFrame, as_of: int) -> DataFrame:
 def fresh(articles: DataFrame, seen: DataFrame, as_of: int) -> DataFrame:
     """Articles whose ``id`` has no mark alive at ``as_of``; rows of one id stay as many as they are.
 
-    The keys are broadcast if their counted size allows it; else the join shuffles both sides, and adaptive execution
-    splits hot ids.
+    The keys are broadcast if their summed size allows it; else the join shuffles both sides, and adaptive execution
+    splits hot ids. Keys that are marked several times do no harm, so the table isn't made distinct before.
     """
-    keys = seen.filter(F.col("expires_at") > as_of).select(F.col("article_id").alias("id")).distinct()
-    if keys.count() * 80 <= BROADCAST_LIMIT_BYTES:
-        keys = F.broadcast(keys)
+    keys = small(seen.filter(F.col("expires_at") > as_of).select(F.col("article_id").alias("id")))
     return articles.join(keys, "id", "left_anti").select(*[F.col(f"`{c}`") for c in articles.columns])
 
 
@@ -40,11 +38,15 @@ def marks(deliveries: DataFrame, as_of: int, ttl: int) -> DataFrame:
 
 @dataclass
 class SeenTable:
-    """Marks below ``root``, one folder per batch, so that a batch that is run again overwrites its own marks only."""
+    """Marks below ``root``, one folder per batch, so that a batch that is run again overwrites its own marks only.
+
+    ``strict``: a table that can't be read fails the cycle. Otherwise that is logged and every article counts as fresh.
+    """
 
     spark: SparkSession
     root: str
     cleanup_interval: int = 43_200
+    strict: bool = False
     swept_at: int = field(default_factory=lambda: int(time.time()))
 
     def _paths(self) -> list[str]:
@@ -57,12 +59,14 @@ class SeenTable:
         return sorted(str(p) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def read(self) -> DataFrame:
-        """All marks; an empty table, and a log line, where they can't be read: then every article counts as fresh."""
+        """All marks; where they can't be read an empty table and a log line, or the error if ``strict``."""
         try:
             paths = self._paths()
             if paths:
                 return self.spark.read.schema(SEEN).parquet(*paths)
         except Exception:
+            if self.strict:
+                raise
             log.exception("seen table can't be read")
         return self.spark.createDataFrame([], SEEN)
 
@@ -83,6 +87,10 @@ class SeenTable:
         return True
 
 
+    def close(self) -> None:
+        """Nothing is held open."""
+
+
 class NoSeenTable:
     """Remembers nothing."""
 
@@ -98,6 +106,9 @@ class NoSeenTable:
     def sweep(self, as_of: int) -> bool:
         return False
 
+    def close(self) -> None:
+        """Nothing is held open."""
+
 
 def open_seen(spark: SparkSession, kind: str, path: str = "", cleanup_interval: int = 43_200) -> SeenTable | NoSeenTable:
     """Store of a kind: '', 'none' and 'disabled' remember nothing; 'parquet' needs a path."""

@@ -39,7 +39,8 @@ def run_cycle(entries: DataFrame, providers: DataFrame, seen: DataFrame, sinks:
     if metadata is not None:
         new = written(new, f"{root}/fresh")
         new = A.enrich(new, metadata(new.select("provider_id", "url").distinct()))
-    evts = written(wrap(new, providers, F.timestamp_seconds(F.lit(int(as_of)))), f"{root}/events")
+    # In the order of their rows, which is that of the feed, so that sinks get them in it as far as tasks go.
+    evts = written(wrap(new, providers, F.timestamp_seconds(F.lit(int(as_of)))).sortWithinPartitions("row_id"), f"{root}/events")
     deliveries = written(send(evts, sinks), f"{root}/deliveries")
     done = D.outcomes(deliveries)
     fetched = built.groupBy("provider_id").agg(F.count("*").alias("fetched"))

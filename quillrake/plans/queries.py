@@ -16,7 +16,7 @@ from ..operators import registry as R
 from ..operators import seen as S
 from ..operators.events import event_json, events
 from ..schemas import PROVIDER, SINK
-from ..session import is_directory, workdir
+from ..session import is_directory, small, workdir
 from ..sources import sitemaps as X
 from ..streaming import harvest
 from .cycle import run_cycle
@@ -263,7 +263,7 @@ def error_rollup(spark, sf_dir):
 def rate_slots(spark, sf_dir):
     e = _entries(spark, sf_dir).filter(utrim(F.col("loc")) != "")
     p = R.sanitize_providers(_read(spark, sf_dir, "providers")).select(F.col("id").alias("provider_id"), "request_delay_ms")
-    s = pacing.slots(e.select("row_id", "provider_id").join(moments.small(spark, p), "provider_id"), "provider_id", "row_id", F.col("request_delay_ms"))
+    s = pacing.slots(e.select("row_id", "provider_id").join(small(p), "provider_id"), "provider_id", "row_id", F.col("request_delay_ms"))
     return s.select("row_id", "provider_id", "not_before_ms")
 
 

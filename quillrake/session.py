@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest size of a side that the library broadcasts by its own hint.
 BROADCAST_LIMIT_BYTES = 64 << 20
@@ -48,8 +49,38 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def workdir(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/quillrake-{tag}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared folder; it goes when the application ends, or with ``discard`` before."""
+    path = f"{shared_root(spark)}/quillrake-{tag}-{uuid.uuid4().hex}"
+    p, fs = hadoop_path(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    _made(spark).append(path)
+    return path
+
+
+def _made(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_quillrake_folders"):
+        sc._quillrake_folders = []
+    return sc._quillrake_folders
+
+
+@contextlib.contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end the work folders that were made inside: what was read from them must be done with."""
+    held = len(_made(spark))
+    try:
+        yield
+    finally:
+        for path in _made(spark)[held:]:
+            delete_path(spark, path)
+        del _made(spark)[held:]
+
+
+def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if the summed length of its values, and 64 bytes a row, are within the limit; as it is otherwise."""
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

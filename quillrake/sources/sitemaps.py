@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import feed_snippet
-from ..operators.registry import request_headers, sanitize_providers
+from ..operators.registry import request_headers, resolve_fetchers, sanitize_providers
 from ..schemas import ENTRY, RESPONSE
 from ..session import workdir, written
 
@@ -22,6 +22,9 @@ from ..session import workdir, written
 NEWS_NS, IMAGE_NS = "http://www.google.com/schemas/sitemap-news/0.9", "http://www.google.com/schemas/sitemap-image/1.1"
 
 TIMEOUT_S = 15
+
+#: Most feed documents that are fetched at a time.
+FEED_WORKERS = 10
 DOCUMENT = T.StructType([T.StructField("entries", T.ArrayType(ENTRY)), T.StructField("nested", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
 
 Fetch = Callable[[DataFrame], DataFrame]
@@ -78,8 +81,11 @@ def from_table(responses: DataFrame) -> Fetch:
     return fetch
 
 
-def over_http(timeout: float = TIMEOUT_S, opener: Callable | None = None) -> Fetch:
-    """Fetch by HTTP GET from the executors, with the request's ``headers`` map; transport errors become error texts."""
+def over_http(timeout: float = TIMEOUT_S, opener: Callable | None = None, workers: int = FEED_WORKERS) -> Fetch:
+    """Fetch by HTTP GET from the executors, with the request's ``headers`` map; transport errors become error texts.
+
+    As many documents as ``workers`` are fetched at a time, each in a task of its own.
+    """
 
     def fetch(requests: DataFrame) -> DataFrame:
         schema = T.StructType([*requests.schema.fields, *[f for f in RESPONSE.fields if f.name != "url"]])
@@ -87,20 +93,25 @@ def over_http(timeout: float = TIMEOUT_S, opener: Callable | None = None) -> Fet
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = [http_get(u, h, timeout, opener) for u, h in zip(b["url"], b["headers"] if "headers" in names else [None] * len(b), strict=True)]
-                yield b.assign(status=pd.array([x[0] for x in out], dtype="Int32"), body=[x[1] for x in out], error=[x[2] for x in out])
+                for k in range(len(b)):  # one body in memory at a time
+                    one = b.iloc[k : k + 1]
+                    status, body, error = http_get(one["url"].iloc[0], one["headers"].iloc[0] if "headers" in names else None, timeout, opener)
+                    yield one.assign(status=pd.array([status], dtype="Int32"), body=[body], error=[error])
 
-        return requests.mapInPandas(run, schema)
+        n = max(1, min(workers, requests.count()))  # the frontier of a level is a written table
+        return requests.repartition(n).mapInPandas(run, schema)
 
     return fetch
 
 
-def http_get(url: str, headers: dict | None, timeout: float = TIMEOUT_S, opener: Callable | None = None) -> tuple[int | None, bytes | None, str | None]:
+def http_get(url: str, headers: dict | None, timeout: float = TIMEOUT_S, opener: Callable | None = None, limit: int | None = None) -> tuple[int | None, bytes | None, str | None]:
+    """(status, body, error) of a GET; of a body larger than ``limit`` only so many bytes are read."""
+    read = (lambda r: r.read()) if limit is None else (lambda r: r.read(limit))
     try:
         with (opener or urllib.request.urlopen)(urllib.request.Request(url, headers=dict(headers or {})), timeout=timeout) as r:
-            return r.status, r.read(), None
+            return r.status, read(r), None
     except urllib.error.HTTPError as e:
-        return e.code, e.read(), None
+        return e.code, read(e), None
     except Exception as e:  # noqa: BLE001  any failure of the transport is a result
         return None, None, f"{type(e).__name__}: {e}"
 
@@ -149,6 +160,31 @@ def traverse(providers: DataFrame, fetch: Fetch) -> tuple[DataFrame, DataFrame]:
     return entries, failed.unionByName(empty)
 
 
+#: Fetcher of each type of provider: from cleaned providers to (entries, errors).
+FETCHERS: dict[str, Callable[[DataFrame, Fetch], tuple[DataFrame, DataFrame]]] = {"google_news_sitemap": traverse}
+
+
+def harvest(providers: DataFrame, fetch: Fetch, by_id: dict[str, Callable] | None = None, by_type: dict[str, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries and errors of all providers, each by its fetcher: one registered for the id comes before one for the type.
+
+    ``by_type`` is ``FETCHERS`` by default. A provider without a fetcher is an error.
+    """
+    spark = providers.sparkSession
+    by_id, by_type = by_id or {}, FETCHERS if by_type is None else by_type
+    table = {f"{kind}:{key}": (kind, key, f) for kind, of in (("id", by_id), ("type", by_type)) for key, f in of.items()}
+    rows = [(kind, key, name) for name, (kind, key, _) in table.items()]
+    found = written(resolve_fetchers(providers, spark.createDataFrame(rows, "key_kind string, key string, fetcher string")), f"{workdir(spark, 'providers')}/resolved")
+    errors = found.filter("fetcher IS NULL").select(F.trim("id").alias("provider_id"), F.col("fetcher_error").alias("error"))
+    entries = None
+    for r in found.filter("fetcher IS NOT NULL").select("fetcher").distinct().collect():  # as many as fetchers
+        own = found.filter(F.col("fetcher") == r.fetcher).drop("fetcher", "fetcher_error")
+        e, wrong = table[r.fetcher][2](own, fetch)
+        entries, errors = e if entries is None else entries.unionByName(e), errors.unionByName(wrong)
+    if entries is None:
+        entries = spark.createDataFrame([], T.StructType([T.StructField("provider_id", T.StringType()), T.StructField("feed_path", T.StringType()), T.StructField("feed_pos", T.IntegerType()), *ENTRY.fields]))
+    return entries, errors
+
+
 def xml_text(c: Column) -> Column:
     """Text with the characters escaped that XML would change or read as markup."""
     out = c
