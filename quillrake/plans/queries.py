@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,10 @@ from ..operators import seen as S
 from ..operators.events import event_json, events
 from ..schemas import PROVIDER, SINK
 from ..session import is_directory, small, workdir
+from ..sources import registries
 from ..sources import sitemaps as X
 from ..streaming import harvest
+from . import moments_sql
 from .cycle import run_cycle
 
 #: The moment at which queries read the seen table: 2025-07-01 00:00 UTC.
@@ -291,6 +294,97 @@ def stream_cycle(spark, sf_dir):
     return out.groupBy(F.col("article.id").alias("id")).agg(F.count("*").alias("published"))
 
 
+def registry_load(spark, sf_dir):
+    """The providers written as a registry document and loaded from it."""
+    rows = [r.asDict(recursive=True) for r in _read(spark, sf_dir, "providers").collect()]  # a registry is read by the driver
+    return registries.read_providers(spark, json.dumps({"providers": rows}, ensure_ascii=False)).drop("config")
+
+
+def sink_registry(spark, sf_dir):
+    """Nations as sinks of a registry with variables: webhooks, of which every third is off and others say nothing of it."""
+    rows = []
+    for r in _read(spark, sf_dir, "nation").collect():
+        k = r.n_nationkey
+        http = {"url": f" https://${{HOOK_HOST}}/{k} ", "method": ["", "put", None][k % 3], "timeout_seconds": k - 5, "headers": {" X-Key ": f"$HOOK_KEY{k % 2} ", "X-None": " $NO_SUCH "}}
+        rows.append({"id": f" {r.n_name} ", "type": "HTTP", "http": http} | ({"enabled": False} if k % 3 == 0 else {}))
+    s = registries.read_sinks(spark, json.dumps(rows), ".json", {"HOOK_HOST": "hook.example", "HOOK_KEY1": "one"})
+    h = F.col("http")
+    return s.select("id", "type", "enabled", h["url"].alias("url"), h["method"].alias("method"), h["timeout_seconds"].cast("bigint").alias("timeout_seconds"), F.to_json(h["headers"]).alias("headers"))
+
+
+def _supplier_sinks(spark, sf_dir) -> DataFrame:
+    """Suppliers as sinks that lack one thing or another, by their key."""
+    k, name = F.col("s_suppkey") % 9, F.col("s_name")
+    url = F.when(k == 1, " ").otherwise(F.concat(F.lit("https://"), F.lower(F.replace(name, F.lit("#"), F.lit("-")))))
+    http = F.struct(url.alias("url"), F.lit("post").alias("method"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("int").alias("timeout_seconds"))
+    keys = lambda *names: F.struct(*[F.when((k == 4) & (F.lit(n) == "region"), " ").otherwise("v").alias(n) for n in names])
+    none = lambda t: F.lit(None).cast(t)
+    t = {f.name: f.dataType for f in SINK["queue"].dataType.fields}
+    kind = F.when(k == 3, " AWS-SQS").when(k == 4, "aws-sns").when(k == 5, "azure").when(k == 6, "rabbit").otherwise("gcp")
+    queue = F.struct(kind.alias("provider"), F.when(k == 3, keys("queue_url", "region", "access_key_id", "secret_access_key")).alias("aws"), F.when(k == 4, keys("topic_arn", "region", "access_key_id", "secret_access_key")).alias("sns"), none(t["azure"]).alias("azure"), none(t["gcp"]).alias("gcp"))
+    s = _read(spark, sf_dir, "supplier").select(
+        F.when(k == 8, " ").otherwise(name).alias("id"), F.when(k <= 2, " Http").when(k <= 7, "queue").otherwise("ftp").alias("type"), F.when(F.col("s_nationkey") % 3 == 0, False).when(F.col("s_nationkey") % 3 == 1, True).alias("enabled"),
+        F.when(k >= 3, queue).alias("queue"), F.when(k <= 1, http).alias("http"),
+    )
+    return R.sanitize_sinks(s)
+
+
+def sink_table_validate(spark, sf_dir):
+    return _supplier_sinks(spark, sf_dir).select("id", "type", "enabled", R.sink_error().alias("error"))
+
+
+def sink_table_enabled(spark, sf_dir):
+    return R.enabled_sinks(_supplier_sinks(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("sinks"))
+
+
+def repeated_ids(spark, sf_dir):
+    return R.repeated_ids(_read(spark, sf_dir, "articles").select("id").filter("id IS NOT NULL"))
+
+
+def seen_store(spark, sf_dir):
+    """Marks written in two batches, one of them twice, swept and read again."""
+    store, rows = S.open_seen(spark, "parquet", workdir(spark, "seen-store"), 1), _read(spark, sf_dir, "seen_articles")
+    odd = F.pmod("expires_at", F.lit(2)) == 1
+    for batch, part in ((0, odd), (1, F.lit(True)), (1, ~odd)):  # a batch that is run again takes the place of its first run
+        store.write(rows.filter(part), batch)
+    store.swept_at = 0
+    store.sweep(AS_OF)
+    return store.read()
+
+
+def deliver_transport(spark, sf_dir):
+    """Every event handed to a transport for every sink, with its outcome or error."""
+    refusals = {"hook": ("0123", "refused "), "jobs": ("08", "queue full"), "topic": ("0189a", "no topic")}
+
+    def send(body: str, provider: str, sink: dict) -> str | None:
+        first = json.loads(body)["article"]["id"][:1]
+        letters, text = refusals[sink["id"]]
+        if first not in letters:
+            return None
+        if sink["id"] == "topic":
+            raise RuntimeError(text)  # an exception is an error of its attempt
+        return text + first if sink["id"] == "hook" else text
+
+    done = D.deliver(_events(spark, sf_dir), _good_sinks(spark), send)
+    return done.select("row_id", "article_id", "sink_id", "ok", "error")
+
+
+def p2_check(spark, sf_dir):
+    """What must hold of the store: every delivery is kept or dropped, once."""
+    store = message_store.replay(spark, sf_dir)
+    kept, lost = store.messages(), store.dropped()
+    both = (kept.select("delivery_id") if kept is not None else lost.select("delivery_id").limit(0)).unionByName(lost.select("delivery_id"))
+    return both.agg(F.count("*").alias("deliveries"), F.count_distinct("delivery_id").alias("ids"))
+
+
+def p6_check(spark, sf_dir):
+    """Of the texts of each table: how many, how many hold no value, and characters of values that aren't in their text."""
+    texts = multivalue.packed_texts(spark, sf_dir)
+    done = multivalue.Splitter(texts).split(texts, "text")
+    lost = F.size(F.filter("vals", lambda v: ~F.contains(F.col("text"), v) & ~v.contains('"')))
+    return done.groupBy("tab").agg(F.count("*").alias("texts"), F.count_if((F.size("vals") == 0) & (utrim(F.col("text")) != "") & F.col("text").rlike(r"[\p{L}\p{N}]")).alias("lost_texts"), F.coalesce(F.sum(lost), F.lit(0)).alias("strange_values"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": message_store.p2_found,
     "p2_messages": message_store.p2_messages,
@@ -330,6 +424,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rate_slots": rate_slots,
     "worker_cap": worker_cap,
     "stream_cycle": stream_cycle,
+    "registry_load": registry_load,
+    "sink_registry": sink_registry,
+    "sink_table_validate": sink_table_validate,
+    "sink_table_enabled": sink_table_enabled,
+    "repeated_ids": repeated_ids,
+    "seen_store": seen_store,
+    "deliver_transport": deliver_transport,
+    "p2_check": p2_check,
+    "p6_check": p6_check,
 }
 
 _KW = lambda c: f"list_filter(list_transform(string_split({c}, ','), lambda x: {T('x')}), lambda x: x <> '')"
@@ -354,7 +457,24 @@ _SINK_ROWS = """(VALUES ('hook','http',true,'POST',5,'{"X-A":"1"}',NULL), ('jobs
   ('nosecret','queue',true,NULL,NULL,NULL,'sqs.secret_access_key is required for sink nosecret'), ('nogcp','queue',true,NULL,NULL,NULL,'gcp config required for sink nogcp'),
   ('odd','ftp',true,NULL,NULL,NULL,'type ftp not supported for sink odd'), ('','http',true,'POST',5,NULL,'id is required')) t(id, type, enabled, method, timeout_seconds, headers, error)"""
 
-ORACLES: dict[str, str] = {
+_HEAD = lambda x, n: f"CASE WHEN strlen({x}) <= {n} THEN {x} ELSE substring({x}, 1, list_max(list_filter(range({n} + 1), lambda k: strlen(substring({x}, 1, k)) <= {n}))) END"
+_SUPPLIERS = """SELECT CASE WHEN k = 8 THEN '' ELSE s_name END AS id, CASE WHEN k <= 2 THEN 'http' WHEN k <= 7 THEN 'queue' ELSE 'ftp' END AS type, s_nationkey % 3 <> 0 AS enabled,
+  CASE k WHEN 1 THEN 'http.url is required for sink ' || s_name WHEN 2 THEN 'http config required for sink ' || s_name WHEN 4 THEN 'sns.region is required for sink ' || s_name WHEN 5 THEN 'queue provider azure not implemented for sink ' || s_name
+  WHEN 6 THEN 'queue provider rabbit not supported for sink ' || s_name WHEN 7 THEN 'gcp config required for sink ' || s_name WHEN 8 THEN 'id is required' END AS error FROM (SELECT *, s_suppkey % 9 AS k FROM supplier)"""
+
+ORACLES: dict[str, str] = moments_sql.oracles() | {
+    "body_truncate": f"SELECT doc_id, {_HEAD('text', 1000)} AS head FROM documents WHERE text IS NOT NULL",
+    "snippets": f"SELECT doc_id, CASE WHEN t = '' THEN '<empty>' WHEN strlen(t) <= 512 THEN t ELSE {_HEAD('t', 512)} || '...' END AS feed, {_HEAD('t', 1024)} AS page, {T(_HEAD('text', 512))} AS sink FROM (SELECT doc_id, text, {T('text')} AS t FROM documents WHERE text IS NOT NULL)",
+    "registry_load": _CLEAN,
+    "sink_registry": """SELECT n_name AS id, 'http' AS type, n_nationkey % 3 <> 0 AS enabled, 'https://hook.example/' || n_nationkey AS url, CASE WHEN n_nationkey % 3 = 1 THEN 'PUT' ELSE 'POST' END AS method,
+      CASE WHEN n_nationkey > 5 THEN n_nationkey - 5 ELSE 5 END::BIGINT AS timeout_seconds, CASE WHEN n_nationkey % 2 = 1 THEN '{"X-Key":"one"}' END AS headers FROM nation""",
+    "sink_table_validate": _SUPPLIERS,
+    "sink_table_enabled": f"SELECT type, count(*) AS sinks FROM ({_SUPPLIERS}) WHERE enabled GROUP BY 1",
+    "repeated_ids": "SELECT id, count(*) AS rows FROM articles WHERE id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "seen_store": f"SELECT article_id, max(expires_at) AS expires_at FROM seen_articles GROUP BY 1 HAVING max(expires_at) > {AS_OF}",
+    "deliver_transport": f"SELECT row_id, article_id, sink_id, error IS NULL AS ok, error FROM ({_DELIVERED})",
+    "p2_check": "SELECT count(*) AS deliveries, count(DISTINCT delivery_id) AS ids FROM harvest_events",
+    "p6_check": "SELECT tab, count(*) AS texts, 0::BIGINT AS lost_texts, 0::BIGINT AS strange_values FROM (SELECT 'sitemap_entries' AS tab, news.keywords AS text FROM sitemap_entries UNION ALL SELECT 'articles', array_to_string(keywords, ', ') FROM articles) WHERE text IS NOT NULL GROUP BY 1",
     "article_identity": f"SELECT entry_id AS row_id, {T('loc')} AS url, sha1({T('loc')}) AS id FROM sitemap_entries WHERE {T('loc')} <> ''",
     "blank_loc_filter": f"SELECT provider_id, count(*) FILTER (coalesce({T('loc')}, '') = '') AS blank, count(*) FILTER ({T('loc')} <> '') AS kept FROM sitemap_entries GROUP BY 1",
     "build_articles": _ARTICLES,

@@ -41,16 +41,18 @@ def decode(text: str, suffix: str) -> object:
     raise RegistryError(f"unsupported or malformed registry file ({suffix or 'no suffix'})")
 
 
-def _rows(path: str, key: str, env: Mapping[str, str] | None, expand: bool) -> list[dict]:
-    p = Path(path)
+def _text(path: str) -> str:
     try:
-        text = p.read_text(encoding="utf-8")
+        return Path(path).read_text(encoding="utf-8")
     except OSError as e:
         raise RegistryError(f"read registry {path}: {e}") from e
-    doc = decode(expand_env(text, env) if expand else text, p.suffix)
+
+
+def _rows(text: str, suffix: str, key: str) -> list[dict]:
+    doc = decode(text, suffix)
     rows = doc.get(key) if isinstance(doc, dict) else doc
     if not isinstance(rows, list) or not rows:
-        raise RegistryError(f"registry {path} lists no {key}")
+        raise RegistryError(f"the registry lists no {key}")
     return [r if isinstance(r, dict) else {} for r in rows]
 
 
@@ -78,16 +80,20 @@ def _checked(df: DataFrame, error) -> DataFrame:
     return df
 
 
-def load_providers(spark: SparkSession, path: str) -> DataFrame:
-    """Cleaned providers of a registry file; one that is incomplete or repeated fails the load."""
-    rows = [_fitted(r, PROVIDER) for r in _rows(path, "providers", None, expand=False)]
+def read_providers(spark: SparkSession, text: str, suffix: str = "") -> DataFrame:
+    """Cleaned providers of a registry's text; one that is incomplete or repeated fails it."""
+    rows = [_fitted(r, PROVIDER) for r in _rows(text, suffix, "providers")]
     return _checked(sanitize_providers(spark.createDataFrame(rows, PROVIDER)), provider_error())
 
 
-def load_sinks(spark: SparkSession, path: str, env: Mapping[str, str] | None = None) -> DataFrame:
-    """Cleaned sinks of a registry file after expansion of variables; a bad one fails the load even if it is disabled."""
+def load_providers(spark: SparkSession, path: str) -> DataFrame:
+    return read_providers(spark, _text(path), Path(path).suffix)
+
+
+def read_sinks(spark: SparkSession, text: str, suffix: str = "", env: Mapping[str, str] | None = None) -> DataFrame:
+    """Cleaned sinks of a registry's text after expansion of variables; a bad one fails it even if it is disabled."""
     rows = []
-    for r in _rows(path, "publishers", env, expand=True):
+    for r in _rows(expand_env(text, env), suffix, "publishers"):
         q = r.get("queue")
         if isinstance(q, dict):
             r = r | {"queue": q | {"aws": _renamed(q.get("aws"), "uri", "queue_url")}}
@@ -95,6 +101,10 @@ def load_sinks(spark: SparkSession, path: str, env: Mapping[str, str] | None = N
     return _checked(sanitize_sinks(spark.createDataFrame(rows, SINK)), sink_error())
 
 
+def load_sinks(spark: SparkSession, path: str, env: Mapping[str, str] | None = None) -> DataFrame:
+    return read_sinks(spark, _text(path), Path(path).suffix, env)
+
+
 def _renamed(value: object, old: str, new: str) -> object:
     if isinstance(value, dict) and old in value and new not in value:
         return {new if k == old else k: v for k, v in value.items()}
