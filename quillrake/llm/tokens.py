@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import workdir, written
+
 #: Vocabulary file, as ranks: a byte-level BPE.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -49,7 +51,7 @@ def told_apart(sizes: DataFrame, step: int = 100_000) -> DataFrame:
     collapse in the map-side half of the aggregate and are written out again ``step`` at a time, in several tasks.
     """
     own = [F.col(f"`{c}`") for c in sizes.columns]
-    n = sizes.groupBy(*own).agg(F.count("*").alias("qt_n"))
+    n = written(sizes.groupBy(*own).agg(F.count("*").alias("qt_n")), workdir(sizes.sparkSession, "copies"))
     first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qt_n") - 1, F.lit(step).cast("bigint"))).alias("qt_first")
     many = n.filter(F.col("qt_n") > step).select(*own, "qt_n", first).repartition(F.col("qt_first"), F.col("qt_n"))
     parts = n.filter(F.col("qt_n") <= step).select(*own, "qt_n", F.lit(0).cast("bigint").alias("qt_first")).unionByName(many)
