@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import containers, languages, lookalikes, mixture, reading_level, seen_keys, truncation
+from . import checks, containers, languages, lookalikes, mixture, reading_level, seen_keys, truncation
 
 QUERIES = {
     "p1_found": languages.p1_found,
@@ -20,6 +20,7 @@ QUERIES = {
     "p9_shares": mixture.p9_shares,
     "p10_found": reading_level.p10_found,
     "p10_levels": reading_level.p10_levels,
+    **checks.QUERIES,
 }
 
-ORACLES = {"p4_found": seen_keys.P4_SQL, "p4_counts": seen_keys.P4_COUNTS_SQL}
+ORACLES = {"p4_found": seen_keys.P4_SQL, "p4_counts": seen_keys.P4_COUNTS_SQL, **checks.ORACLES}
