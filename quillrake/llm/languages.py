@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import bisect
 import functools
-import itertools
 import re
 import unicodedata
 import zlib
@@ -46,8 +45,8 @@ FEATURES, ROWS_PER_LANGUAGE = 1 << 16, 1200
 #: Stretches of one or two words need this confidence to be in another language than the stretch beside them.
 SURE = 0.75
 
-#: Inside a stretch another language begins only where runs of so many words, of this mean confidence, differ.
-RUN, CERTAIN = 3, 0.9
+#: Inside a stretch another language begins only where its words gain so many nats; least probability of a word there.
+TURN, DOUBT = 8.0, 0.02
 
 _MARKS = "̀-ͯ҃-҇ऀ-ःऺ-ॏ॑-ॗॢॣ‌‍"
 _WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}]|['’](?=[^\W\d_]))*")
@@ -242,15 +241,26 @@ def train(sequences: list[tuple[list[str], np.ndarray]], epochs: int = 6, rate:
 
 
 def _turns(p: np.ndarray) -> list[int]:
-    """Words of a stretch at which another language begins, from the words' probabilities."""
-    top = p.argmax(axis=1)
-    ends = [0, *(np.flatnonzero(np.diff(top)) + 1).tolist(), len(top)]
-    runs = [(a, b, top[a]) for a, b in itertools.pairwise(ends) if b - a >= RUN and p[a:b, top[a]].mean() >= CERTAIN]
-    out = []
-    for (_, b, x), (c, _, y) in itertools.pairwise(runs):
-        if x != y:  # words between the two runs go where they fit better
-            out.append(b + int(np.concatenate([[0.0], np.cumsum(p[b:c, x] - p[b:c, y])]).argmax()))
-    return out
+    """Words of a stretch at which another language begins, from the words' probabilities.
+
+    Viterbi over the languages that have two words' weight or more: a turn must gain more than ``TURN`` nats, of which
+    one word gives ``-log(DOUBT)`` at most, so that a name or two make no segment.
+    """
+    heavy = np.flatnonzero(p.sum(axis=0) >= 2.0)
+    if len(heavy) < 2:
+        return []
+    held, came = [0.0] * len(heavy), []
+    for row in np.log(np.maximum(p[:, heavy], DOUBT)).tolist():
+        top = max(range(len(held)), key=held.__getitem__)
+        turn = held[top] - TURN
+        came.append([k if h >= turn else top for k, h in enumerate(held)])
+        held = [(h if h >= turn else turn) + x for h, x in zip(held, row, strict=True)]
+    at, out = max(range(len(held)), key=held.__getitem__), []
+    for k in range(len(came) - 1, 0, -1):
+        if came[k][at] != at:
+            out.append(k)
+            at = came[k][at]
+    return out[::-1]
 
 
 def _cut_at_turns(text: str, begins: list[int], p: np.ndarray) -> list[tuple[int, int]]:
@@ -262,7 +272,7 @@ def _cut_at_turns(text: str, begins: list[int], p: np.ndarray) -> list[tuple[int
     out = []
     for a, b in whole:
         first, end = bisect.bisect_left(begins, a), bisect.bisect_left(begins, b)
-        for k in _turns(p[first:end]) if end - first >= 2 * RUN else []:
+        for k in _turns(p[first:end]):
             out.append((a, a + len(text[a : begins[first + k]].rstrip())))
             a = begins[first + k]
         out.append((a, b))
