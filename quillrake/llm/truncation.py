@@ -73,7 +73,8 @@ def find_peaks(lengths: np.ndarray, counts: np.ndarray, ratio: float = 25.0, lea
 def limits(values: DataFrame, most: int = 1_000_000) -> Limits:
     """Peaks of each source and field over all ``values`` (source, field, value)."""
     rows = values.select(F.coalesce("source", F.lit("")).alias("source"), "field", "value", F.length("value").alias("length"))
-    rows = rows.groupBy("source", "field", "length").agg(F.approx_count_distinct("value").alias("n"))  # a story told often is no limit
+    # A story told often is no limit: distinct values are counted, by their 64-bit hashes.
+    rows = rows.groupBy("source", "field", "length", F.xxhash64("value").alias("h")).agg(F.lit(1).alias("one")).groupBy("source", "field", "length").agg(F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = find_peaks(pdf["length"].to_numpy(), pdf["n"].to_numpy())
@@ -94,7 +95,7 @@ def _h(kind: str, s: str) -> int:
 
 
 def features(source: str | None, name: str, value: str, lim: Limits) -> list[int]:
-    """Hashed features of a value's end; only its last characters matter, and its length."""
+    """Hashed features of a value: its last characters and words, its length, and whether its quotes and brackets are closed."""
     raw = value.rstrip()
     mark = _MARK.search(raw[-40:])
     body = tidy(_MARK.sub("", raw[-240:]) if mark else raw[-240:]).rstrip()
@@ -115,7 +116,7 @@ def features(source: str | None, name: str, value: str, lim: Limits) -> list[int
         w3 = words[-3] if len(words) > 2 else ""
         shape = "A" if body[-len(w1) :][:1].isupper() else "1" if w1[:1].isdigit() else "a"
         out += [_h("w", f"{name}{w1}"), _h("x", f"{name}{w2}{shape}"), _h("y", f"{name}{w3} {w2}{shape}"), _h("z", f"{name}{kind}{shape}"), _h("n", f"{name}{min(len(w1), 10)}{shape}{kind}"), _h("t", f"{name}{kind}{w2} {w1}"), _h("c", f"{name}{min(len(raw) // 20, 12)}{kind}"), _h("d", f"{w2}{shape}{place}"), _h("e", f"{name}{w1}{place}")]
-        out += [_h("q", f"{name}{body.count(chr(34)) % 2}{body.count('(') > body.count(')')}{kind}")]
+        out += [_h("q", f"{name}{raw.count(chr(34)) % 2}{raw.count('(') > raw.count(')')}{kind}")]
     return out
 
 
