@@ -14,6 +14,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .sitemaps import TIMEOUT_S, http_get, parse_sitemap
 
 
+#: Type of the providers whose feeds these are, compared in small letters.
+PROVIDER_TYPE = "google_news_sitemap"
+
+
 class FeedError(RuntimeError):
     """A provider's feed can't be read as a whole."""
 
@@ -74,6 +78,9 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Feed) -> Iterator[tuple]:
         p = partition.provider
+        kind = (p.get("type") or PROVIDER_TYPE).strip()
+        if kind.lower() != PROVIDER_TYPE:
+            raise FeedError(f"provider {p['id']} of type {kind} isn't a sitemap feed")
         get = lambda url: http_get(url, p.get("headers"), self.timeout)
         for k, e in enumerate(read_feed(p["source_url"], get)):
             news = e["news"] and (e["news"]["publication_date"], e["news"]["keywords"], e["news"]["title"])

@@ -259,6 +259,32 @@ def test_cycle_and_stream(spark, tmp_path):
     assert seen == [(0, 3), (1, 0), (2, 3)]
 
 
+def test_the_stream_enriches(spark, tmp_path):
+    p, got = spark.createDataFrame([("p", "P")], "id string, name string"), []
+    e = entries(spark, "https://a.example/1", "https://a.example/2")
+    e.write.parquet(str(tmp_path / "in"))
+    pages = lambda fresh: A.page_metadata(fresh.select("url", F.lit(200).alias("status"), F.concat(F.lit("<title>of "), "url", F.lit("</title>")).alias("body"), F.lit(None).cast("string").alias("error")))
+    q = harvest.start(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), p, S.NoSeenTable(spark), sinks(spark, ("s", "http", True, None, {"url": "u"})), lambda ev, s: D.by_rule(ev, s, F.lit(None).cast("string")), str(tmp_path / "cp"), interval_s=None, on_cycle=lambda c, n: got.extend(r.t for r in c.events.select("article.title").toDF("t").collect()), metadata=pages)
+    q.awaitTermination()
+    assert sorted(got) == ["of https://a.example/1", "of https://a.example/2"]
+
+
+def test_a_failing_cycle_ends_the_stream_where_asked_to(spark, tmp_path):
+    e = entries(spark, "https://a.example/1")
+    e.write.parquet(str(tmp_path / "in"))
+    took = []
+
+    def bad(ev, s):
+        took.append(ev.count())
+        raise RuntimeError("down")
+
+    for _ in range(2):  # the batch that failed comes again
+        q = harvest.start(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), spark.createDataFrame([("p", "P")], "id string, name string"), S.NoSeenTable(spark), [], bad, str(tmp_path / "cp"), interval_s=None, fail=True)
+        with pytest.raises(Exception, match="down"):
+            q.awaitTermination()
+    assert took == [1, 1]
+
+
 def test_a_failing_cycle_doesnt_stop_the_stream(spark, tmp_path):
     e = entries(spark, "https://a.example/1")
     e.write.parquet(str(tmp_path / "in"))

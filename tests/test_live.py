@@ -75,6 +75,15 @@ def test_data_source(spark, site):
     assert [(r.provider_id, r.feed_pos, r.loc, r.news) for r in rows] == [("x", i, f"{base}/a{i}", None) for i in range(3)]
 
 
+def test_the_data_source_takes_its_type_only(spark, site):
+    base, _ = site
+    spark.dataSource.register(DS.SitemapFeeds)
+    load = lambda kind: spark.read.format("sitemap_feeds").option("providers", json.dumps([{"id": "x", "type": kind, "source_url": f"{base}/index"}])).load()
+    assert load(" Google_News_Sitemap ").count() == 3
+    with pytest.raises(Exception, match="isn't a sitemap feed"):
+        load("rss").count()
+
+
 def test_feed_errors():
     docs = {"root": "<sitemapindex><sitemap><loc>bad</loc></sitemap></sitemapindex>", "empty": "<urlset/>", "broken": "<x"}
     get = lambda u: (200, docs[u], None) if u in docs else (500, b"", None)
