@@ -21,7 +21,7 @@ from ..session import is_directory, small, workdir
 from ..sources import registries
 from ..sources import sitemaps as X
 from ..streaming import harvest
-from . import moments_sql
+from . import moments_sql, multivalue_sql
 from .cycle import run_cycle
 
 #: The moment at which queries read the seen table: 2025-07-01 00:00 UTC.
@@ -463,6 +463,7 @@ _SUPPLIERS = """SELECT CASE WHEN k = 8 THEN '' ELSE s_name END AS id, CASE WHEN
   WHEN 6 THEN 'queue provider rabbit not supported for sink ' || s_name WHEN 7 THEN 'gcp config required for sink ' || s_name WHEN 8 THEN 'id is required' END AS error FROM (SELECT *, s_suppkey % 9 AS k FROM supplier)"""
 
 ORACLES: dict[str, str] = moments_sql.oracles() | {
+    "p6_found": multivalue_sql.oracle(),
     "body_truncate": f"SELECT doc_id, {_HEAD('text', 1000)} AS head FROM documents WHERE text IS NOT NULL",
     "snippets": f"SELECT doc_id, CASE WHEN t = '' THEN '<empty>' WHEN strlen(t) <= 512 THEN t ELSE {_HEAD('t', 512)} || '...' END AS feed, {_HEAD('t', 1024)} AS page, {T(_HEAD('text', 512))} AS sink FROM (SELECT doc_id, text, {T('text')} AS t FROM documents WHERE text IS NOT NULL)",
     "registry_load": _CLEAN,
