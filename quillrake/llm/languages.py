@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import re
 import unicodedata
 import zlib
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lookalikes import _CLASS, plain
+from .lookalikes import _CLASS, LOOKALIKES, PLAIN
 
 LANGS = ("en", "de", "fr", "es", "pt", "nl", "ru", "hi")
 
@@ -48,12 +49,20 @@ SURE = 0.75
 #: Inside a stretch another language begins only where its words gain so many nats; least probability of a word there.
 TURN, DOUBT = 8.0, 0.02
 
+#: Letters that another one, the first of its set, is taken for in Latin words.
+_ALIKE = re.compile("[" + "".join(c for g in LOOKALIKES for c in g[1:]) + "]")
+
 _MARKS = "̀-ͯ҃-҇ऀ-ःऺ-ॏ॑-ॗॢॣ‌‍"
 _WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}]|['’](?=[^\W\d_]))*")
 #: Where one stretch of text may end and another, in another language, begin.
 _BREAK = re.compile(r"(?<=[.!?।…])[\"”»')\]]*\s+|\s*\n+\s*|\s*[:;]\s+|\s+[|/•·–—\-]\s+|\s*[|•·]\s*")
 
 
+#: What any such place needs; most headlines have nothing of it, or one of ``_ENDING`` at their end only.
+_POINT, _ENDING = re.compile(r"[.!?।…\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029:;|•·/–—\-]"), ".!?।…/–—-"
+_MAY_BREAK = re.compile(r"[.!?।…][\"”»')\]]*\s|[\n:;|•·]|\s[/–—\-]\s")
+
+
 def code_of(label: str | None) -> str | None:
     """Two-letter code that a label names; None if it names none of the languages."""
     return _CODE.get(re.split(r"[-_]", (label or "").strip().lower())[0])
@@ -63,8 +72,9 @@ def tidy(text: str) -> str:
     """Plain widths and blanks; look-alike letters of another script in a word become those of its other letters."""
     if text.isascii():
         return text
-    lines = [unicodedata.normalize("NFC", plain(x)) for x in text.splitlines()]
-    return _WORD.sub(lambda m: _one_script(m[0]), "\n".join(lines))
+    # As ``plain`` has it, composed: composing undoes that it decomposes first.
+    text = "\n".join([unicodedata.normalize("NFC", " ".join(x.translate(PLAIN).split())) for x in text.splitlines()])
+    return _WORD.sub(lambda m: _one_script(m[0]), text) if _ALIKE.search(text) else text
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -81,6 +91,9 @@ def _one_script(w: str) -> str:
 
 def stretches(text: str) -> list[tuple[int, int]]:
     """(from, to) of the sentences and headlines of a text."""
+    point = _POINT.search(text)
+    if point is None or (point.end() == len(text) and point[0] in _ENDING) or not _MAY_BREAK.search(text, max(0, point.start() - 1)):
+        return [(0, len(text))] if text else []
     out, at = [], 0
     for m in _BREAK.finditer(text):
         if m.start() > at:
@@ -133,15 +146,16 @@ class Field:
         if self.table is None or len(self.places) > 300_000:  # a cache only
             self.places.clear()
             self.table = np.zeros((1024, len(LANGS)))
-        at, places = [], self.places
-        for w in words:
-            k = places.get(w)
-            if k is None:
-                k = places[w] = len(places)
-                if k >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[k] = self.weights[features(w)].sum(axis=0)
-            at.append(k)
+        places = self.places
+        at = [places.get(w, -1) for w in words]
+        if new := list(dict.fromkeys(words[i] for i, k in enumerate(at) if k < 0)):
+            first, feats = len(places), [features(w) for w in new]
+            places.update(zip(new, range(first, first + len(new)), strict=True))
+            if len(places) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(new)), len(LANGS)))])
+            ends = np.cumsum([0, *map(len, feats)])
+            self.table[first : first + len(new)] = np.add.reduceat(self.weights[np.concatenate(feats)], ends[:-1], axis=0)
+            at = [places[w] if k < 0 else k for w, k in zip(words, at, strict=True)]
         return self.table[at] if at else np.zeros((0, len(LANGS)))
 
     def posteriors(self, emissions: list[np.ndarray], pairs: np.ndarray | None = None) -> list[np.ndarray]:
@@ -205,7 +219,7 @@ def train(sequences: list[tuple[list[str], np.ndarray]], epochs: int = 6, rate:
     flat, sizes = (np.concatenate(feats) if feats else np.zeros(0, dtype=int)), np.array([len(x) for x in feats], dtype=int)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     gw, gt, gs = np.full((FEATURES, k), 1e-2), np.full((k, k), 1.0), np.full(k, 1.0)
-    rng = np.random.default_rng(seed)
+    rng, place = np.random.default_rng(seed), np.zeros(FEATURES, dtype=np.int64)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(sequences)), max(1, len(sequences) // 128)):
             part = [i for i in part if len(ids[i])]
@@ -214,7 +228,7 @@ def train(sequences: list[tuple[list[str], np.ndarray]], epochs: int = 6, rate:
             used, local = np.unique(np.concatenate([ids[i] for i in part]), return_inverse=True)
             rows = np.concatenate([flat[ends[u] : ends[u + 1]] for u in used])
             owner = np.repeat(np.arange(len(used)), sizes[used])
-            scores = _sums(owner, f.weights[rows], len(used))
+            scores = np.add.reduceat(f.weights[rows], np.concatenate([[0], np.cumsum(sizes[used])[:-1]]), axis=0)
             cut = np.cumsum([len(ids[i]) for i in part])[:-1]
             where = np.split(local, cut)
             labels = [sequences[i][1] for i in part]
@@ -229,7 +243,9 @@ def train(sequences: list[tuple[list[str], np.ndarray]], epochs: int = 6, rate:
                 np.add.at(dt, (y[:-1], y[1:]), -1.0)
                 ds += p[0]
                 ds[y[0]] -= 1.0
-            touched, at = np.unique(rows, return_inverse=True)
+            touched = np.flatnonzero(np.bincount(rows, minlength=FEATURES))
+            place[touched] = np.arange(len(touched))
+            at = place[rows]
             diff = _sums(np.concatenate(where), np.concatenate(errors), len(used))
             g = _sums(at, diff[owner], len(touched)) / len(part) + 1e-4 * f.weights[touched]
             gw[touched] += g**2
@@ -263,12 +279,8 @@ def _turns(p: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def _cut_at_turns(text: str, begins: list[int], p: np.ndarray) -> list[tuple[int, int]]:
+def _cut_at_turns(text: str, whole: list[tuple[int, int]], begins: list[int], p: np.ndarray) -> list[tuple[int, int]]:
     """The stretches of a text, cut where the language of their words turns without a mark; ``begins``: of the words."""
-    whole = stretches(text)
-    top = p.argmax(axis=1)
-    if not len(top) or (top == top[0]).all():
-        return whole
     out = []
     for a, b in whole:
         first, end = bisect.bisect_left(begins, a), bisect.bisect_left(begins, b)
@@ -282,28 +294,42 @@ def _cut_at_turns(text: str, begins: list[int], p: np.ndarray) -> list[tuple[int
 def read(f: Field, texts: list[str]) -> list[list[tuple[int, int, str | None, float]]]:
     """Of each text its stretches: (from, to, language, confidence), in the tidied text; a stretch without words has no language."""
     tidied = [tidy(t) for t in texts]
-    words = [list(_WORD.finditer(t)) for t in tidied]
-    post = f.posteriors([f.scores([m[0] for m in ws]) for ws in words])
-    out = []
-    for t, ws, p in zip(tidied, words, post, strict=True):
-        k, rows, held = 0, [], []
-        begins = [m.start() for m in ws]
-        for a, b in _cut_at_turns(t, begins, p):
-            first = k
-            k = bisect.bisect_left(begins, b, k)
-            if k > first:
-                mean = p[first:k].sum(axis=0) / (k - first)
-                lang, sure = LANGS[int(mean.argmax())], float(mean.max())
-                weak = k - first <= 2 and sure < SURE  # a word or two that tell little, say before a cut
-                rows.append((a, b, lang, sure))
-                held.append((len(rows) - 1, weak, mean))
+    found = [[(m.start(), m[0]) for m in _WORD.finditer(t)] for t in tidied]
+    ends = np.cumsum([0, *map(len, found)])
+    scores = f.scores([w for ws in found for _, w in ws])
+    post = f.posteriors([scores[a:b] for a, b in itertools.pairwise(ends.tolist())])
+    flat = np.concatenate(post) if post else np.zeros((0, len(LANGS)))
+    turned = np.concatenate([[0], np.cumsum(np.diff(flat.argmax(axis=1), prepend=-1) != 0)])
+    spans: list[list[tuple[int, int, int, int]]] = []  # of each text: (from, to, first word, last word) of its stretches
+    for i, (t, ws) in enumerate(zip(tidied, found, strict=True)):
+        begins, whole = [x for x, _ in ws], stretches(t)
+        if ws and turned[ends[i + 1]] > turned[ends[i] + 1]:  # not all words are of one language
+            whole = _cut_at_turns(t, whole, begins, post[i])
+        k, at, own = 0, int(ends[i]), []
+        for a, b in whole:
+            first, k = k, bisect.bisect_left(begins, b, k) if b < len(t) else len(begins)
+            own.append((a, b, at + first, at + k))
+        spans.append(own)
+    held = [(a, b) for own in spans for _, _, a, b in own if b > a]
+    starts, sizes = np.array([a for a, _ in held], dtype=np.int64), np.array([b - a for a, b in held])
+    means = np.add.reduceat(flat, starts, axis=0) / sizes[:, None] if held else flat  # every word lies in a stretch
+    langs, sures, at, out = means.argmax(axis=1).tolist(), means.max(axis=1).tolist() if held else [], 0, []
+    for own in spans:
+        rows, told = [], []
+        for a, b, x, y in own:
+            if y > x:
+                weak = y - x <= 2 and sures[at] < SURE  # a word or two that tell little, say before a cut
+                told.append((len(rows), weak, at))
+                rows.append((a, b, LANGS[langs[at]], sures[at]))
+                at += 1
             else:
                 rows.append((a, b, None, 0.0))
-        for i, (at, weak, mean) in enumerate(held):
-            near = held[i - 1] if i else (held[1] if len(held) > 1 else None)
+        for i, (k, weak, mean) in enumerate(told):
+            near = told[i - 1] if i else (told[1] if len(told) > 1 else None)
             if weak and near and not (i == 0 and near[1]):
-                a, b, _, _ = rows[at]
-                rows[at] = (a, b, rows[near[0]][2], float(mean[LANGS.index(rows[near[0]][2])]))
+                a, b, _, _ = rows[k]
+                lang = rows[near[0]][2]
+                rows[k] = (a, b, lang, float(means[mean][LANGS.index(lang)]))
         out.append(rows)
     return out
 

@@ -69,15 +69,15 @@ class _PlainTable(dict):
         return got
 
 
-_PLAIN = _PlainTable()
+PLAIN = _PlainTable()
 
 
 def plain(text: str) -> str:
     """Without invisible characters, in plain widths and blanks, decomposed; runs of blanks become one, none at the ends."""
     if not text.isascii():
-        text = unicodedata.normalize("NFD", text.translate(_PLAIN))
+        text = unicodedata.normalize("NFD", text.translate(PLAIN))
     elif not text.isprintable():
-        text = text.translate(_PLAIN)
+        text = text.translate(PLAIN)
     return " ".join(text.split())
 
 
