@@ -70,3 +70,20 @@ ORACLES = {
     "p9_check": "SELECT source, target_share, 0::BIGINT AS overused, 0::BIGINT AS odd_blocks FROM mix_targets",
     "p10_check": "SELECT count(*) AS documents, 0::BIGINT AS off_scale FROM documents",
 }
+
+
+def _p3_sql() -> str:
+    """Pairs by a plainer form: one letter for each set of look-alikes, composed accents, widths and blanks made plain."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    source = "".join(c for g in lookalikes.LOOKALIKES for c in g[1:])
+    target = "".join(g[0] for g in lookalikes.LOOKALIKES for _ in g[1:])
+    form = f"translate(nfc_normalize(value), '{wide}', '{''.join(chr(ord(c) - 0xFEE0) for c in wide).replace(chr(39), chr(39) * 2)}')"
+    for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("…", "..."), ("‐", "-"), ("‑", "-"), ("ʼ", "’")):
+        form = f"replace({form}, '{a}', '{b}')"
+    form = rf"regexp_replace(regexp_replace({form}, '[\s\p{{Z}}\x{{0b}}\x{{85}}]', ' ', 'g'), '[\p{{Cf}}\p{{Cc}}\x{{34f}}\x{{fe00}}-\x{{fe0f}}\x{{115f}}\x{{1160}}\x{{3164}}\x{{ffa0}}]', '', 'g')"
+    form = rf"trim(regexp_replace(nfc_normalize(translate({form}, '{source}', '{target}')), ' +', ' ', 'g'))"
+    return f"""WITH v AS (SELECT row_id, field, value, {form} AS form FROM (SELECT row_id, 'title' AS field, title AS value FROM articles UNION ALL SELECT row_id, 'description', description FROM articles))
+SELECT a.field, a.row_id AS row_id_1, b.row_id AS row_id_2 FROM v a JOIN v b ON a.field = b.field AND a.form = b.form AND a.row_id < b.row_id WHERE a.value <> b.value AND a.form <> ''"""
+
+
+ORACLES["p3_found"] = _p3_sql()

@@ -187,6 +187,7 @@ def fit(bags: DataFrame, graded: pd.DataFrame, rounds: int = 3, anchor: float =
             return int(np.argmin(abs(BINS - m.level(k, n)))), m.english[k]
 
         counts = anchored * anchor + _dense(_sum(bags, place), len(BINS))
+        shared.destroy()
     model.cut = _cut([(g, model.level(k, n)) for g, k, n in samples])
     return model
 

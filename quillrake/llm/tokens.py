@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,11 +22,16 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _here(path: str) -> str:
+    """Where this process has the vocabulary: at its own path, or where Spark put the driver's copy."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
     import tiktoken
 
-    with open(path, "rb") as lines:
+    with open(_here(path), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -35,7 +42,13 @@ def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
 
 
 def token_count(text: Column, path: str = TOKENIZER) -> Column:
-    """Tokens of a text column; NULL and empty texts have none. Whole texts are read, in Arrow batches."""
+    """Tokens of a text column; NULL and empty texts have none. Whole texts are read, in Arrow batches.
+
+    The vocabulary goes to the executors with the application's files, for those that don't have it at ``path``.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and os.path.exists(path):
+        spark.sparkContext.addFile(path)
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
