@@ -301,16 +301,17 @@ class Model:
         for i in range(n):
             s = (end[i - 1] if i else 0.0) - before
             whole = add(s + start + spell[:, i], s + single[:, i]) + cut[:, i] + begin[i + 1]  # this one stretch, known or spelled
-            for b in np.flatnonzero(whole >= low).tolist():
-                if v := keys[b][i]:
-                    found[b].append((v, math.exp(min(0.0, whole[b]))))
+            for values, ks, p in zip(found, keys, np.exp(np.minimum(0.0, whole)).tolist(), strict=True):
+                if p >= least and ks[i]:
+                    values.append((ks[i], p))
             s = s + start + spell[:, i]
             for j in range(i + 1, n):
                 s = s + on[:, j - 1] + spell[:, j]
                 if not (s + rest[j] >= low).any():
                     break
-                for b in np.flatnonzero(s + cut[:, j] + begin[j + 1] >= low).tolist():
-                    found[b].append((lats[b].key(i, j), math.exp(min(0.0, s[b] + cut[b, j] + begin[j + 1][b]))))
+                whole = np.exp(np.minimum(0.0, s + cut[:, j] + begin[j + 1]))
+                for b in np.flatnonzero(whole >= least).tolist():
+                    found[b].append((lats[b].key(i, j), float(whole[b])))
         cuts = np.exp(np.minimum(0.0, end + begin[1:] - before)).T.tolist()
         for values, c, lat in zip(found, cuts, lats, strict=True):
             yield values, c[:-1], lat.forms
