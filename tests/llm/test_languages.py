@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -62,6 +63,29 @@ def test_languages_change_without_a_stop(model):
     assert [[(r[0], r[1]) for r in rows] for rows in L.read(model, ["The mayor opens the new bridge, Мэр открывает новый мост"])] == [[(0, 31), (32, 56)]]
 
 
+def test_turns_against_enumeration():
+    rng = np.random.default_rng(3)
+    turned = 0
+    for _ in range(60):
+        n = int(rng.integers(4, 10))
+        p = rng.dirichlet([0.3, 0.3, 0.3], size=n)
+        p = np.concatenate([np.where(np.arange(n)[:, None] < n // 2, p * [30, 1, 1], p * [1, 30, 1]), np.zeros((n, len(L.LANGS) - 3))], axis=1)
+        p /= p.sum(axis=1, keepdims=True)
+        heavy = np.flatnonzero(p.sum(axis=0) >= 2.0)
+        logs = np.log(np.maximum(p, L.DOUBT))
+        score = lambda way: sum(logs[k, x] for k, x in enumerate(way)) - L.TURN * sum(x != y for x, y in itertools.pairwise(way))
+        best = max(map(score, itertools.product(heavy.tolist(), repeat=n)), default=None)
+        got = L._turns(p)
+        turned += bool(got)
+        if best is None:
+            assert got == []
+            continue
+        ends = [0, *got, n]
+        found = max(score([x for (a, b), x in zip(itertools.pairwise(ends), way, strict=True) for _ in range(b - a)]) for way in itertools.product(heavy.tolist(), repeat=len(ends) - 1))
+        assert abs(found - best) < 1e-9
+    assert turned > 5
+
+
 def test_features_of_the_whole_word():
     assert L.features("a" * 45 + "bcd" + "e" * 10) != L.features("a" * 45 + "xyz" + "e" * 10)
     assert set(L.features("a" * 45 + "bcd" + "e" * 10)) >= {L._hash("n", "bcd")}
