@@ -122,7 +122,7 @@ class MessageStore:
             keyed = keyed & F.col(k).isNotNull()
         index_rows = batch.filter(keyed).select(self._key_hash().alias("key_hash"), self.part).distinct()
         index_rows = written(index_rows, f"{self.root}/incoming/index-{n}")
-        affected = self._affected(index_rows.select("key_hash").distinct()) if self.state["index"] else []
+        affected = self._affected(index_rows.select("key_hash")) if self.state["index"] else []
         old_paths = sorted({p for a in affected for p in self.state["parts"].get(a, [])})
         old = self._read(old_paths)
         rows = batch if old is None else batch.unionByName(old, allowMissingColumns=True)
