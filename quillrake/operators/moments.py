@@ -32,7 +32,7 @@ def interval_table(spark: SparkSession, names: list[str]) -> DataFrame:
 
 def zone_names(texts: DataFrame, text: str, providers: DataFrame) -> list[str]:
     """Zones of the providers and those that texts name; at most as many as the tz database has."""
-    named = texts.select(F.regexp_extract(text, r"[\s\[(]([A-Z][A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)+)[\])]?\s*$", 1).alias("z"))
+    named = texts.filter(F.col(f"`{text}`").contains("/")).select(F.regexp_extract(f"`{text}`", r"[\s\[(]([A-Z][A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)+)[\])]?\s*$", 1).alias("z"))
     named = named.filter(F.col("z").isin(zones.names())).distinct()
     found = providers.select(F.trim(F.col("config")["timezone"]).alias("z")).distinct().union(named).distinct()
     return [r.z for r in found.collect() if r.z and zones.known(r.z)]
