@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import parse_meta, resolve_url
-from ..functions.text import article_id, cut_bytes, first_image, keyword_list, rfc3339, utrim
+from ..functions.text import article_id, cut_bytes, first_image, first_non_empty, keyword_list, rfc3339, utrim
 
 #: Bytes of a page that are read for its metadata.
 PAGE_BYTES = 1 << 20
@@ -23,7 +23,7 @@ def build_articles(entries: DataFrame) -> DataFrame:
         *[F.col(f"`{c}`") for c in other],
         "provider_id",
         article_id(F.col("loc")).alias("id"),
-        F.coalesce(utrim(F.col("news.title")), F.lit("")).alias("title"),
+        first_non_empty(F.col("news.title")).alias("title"),
         loc.alias("url"),
         F.lit("").alias("description"),
         first_image(F.col("image")).alias("image_url"),
