@@ -9,6 +9,7 @@ written to a folder of its own, and replacing the manifest file puts all of them
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,21 +79,24 @@ class MessageStore:
         found = {n: n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}=")}
         return {"" if v == "__HIVE_DEFAULT_PARTITION__" else f"={v}": f"{path}/{n}" for n, v in found.items()}
 
-    def index_paths(self, ids: DataFrame) -> list[str]:
-        """Folders of the index in which ids (key_hash) may be."""
-        hit = ids.select(self._bucket().alias("b")).distinct().collect()  # as many rows as buckets at most
-        return sorted(p for r in hit for p in self.state["index"].get(f"={r.b}", []))
+    def _affected(self, own: dict[str, str]) -> list[str]:
+        """Partitions that may hold a message of a batch, whose own index lies in the folders ``own`` by bucket.
 
-    def _affected(self, ids: DataFrame) -> list[str]:
-        """Partitions that may hold a message of ids (key_hash). The index isn't shuffled while the ids can be broadcast."""
-        paths = self.index_paths(ids)
+        Only these buckets are opened, and the index isn't shuffled while the batch's identifiers can be broadcast.
+        """
+        paths = self.index_paths(own)
         if not paths:
             return []
-        index = self.spark.read.schema(f"key_hash bigint, `{self.part}` string").parquet(*paths)
+        schema = f"key_hash bigint, `{self.part}` string"
+        ids = self.spark.read.schema(schema).parquet(*own.values()).select("key_hash")
         ids = F.broadcast(ids) if ids.count() * 64 <= BROADCAST_LIMIT_BYTES else ids  # a hash table's entry takes some 50 bytes
-        hits = index.join(ids, "key_hash", "left_semi").select(self.part).distinct()
+        hits = self.spark.read.schema(schema).parquet(*paths).join(ids, "key_hash", "left_semi").select(self.part).distinct()
         return sorted("" if r[0] is None else f"={r[0]}" for r in hits.collect())  # partitions: a bounded number
 
+    def index_paths(self, buckets: Iterable[str]) -> list[str]:
+        """Folders of the index that hold earlier identifiers of some buckets."""
+        return sorted(p for b in buckets for p in self.state["index"].get(b, []))
+
     def _merged_index(self, state: dict, n: int) -> None:
         """Merge the index's folders where too many lie side by side."""
         if max((len(p) for p in state["index"].values()), default=0) <= self.index_files:
@@ -121,8 +125,8 @@ class MessageStore:
         for k in self.key:
             keyed = keyed & F.col(k).isNotNull()
         index_rows = batch.filter(keyed).select(self._key_hash().alias("key_hash"), self.part).distinct()
-        index_rows = written(index_rows, f"{self.root}/incoming/index-{n}")
-        affected = self._affected(index_rows.select("key_hash")) if self.state["index"] else []
+        own = self._written_by(index_rows.withColumn("qr_bucket", self._bucket()), "qr_bucket", f"{self.root}/index/batch-{n}")
+        affected = self._affected(own)
         old_paths = sorted({p for a in affected for p in self.state["parts"].get(a, [])})
         old = self._read(old_paths)
         rows = batch if old is None else batch.unionByName(old, allowMissingColumns=True)
@@ -140,7 +144,7 @@ class MessageStore:
         state["retired"] += [[n, p] for a in affected for p in state["parts"].pop(a, [])]
         for label, path in self._written_by(kept, "qr_part", f"{self.root}/data/batch-{n}").items():
             state["parts"].setdefault(label, []).append(path)
-        for label, path in self._written_by(index_rows.withColumn("qr_bucket", self._bucket()), "qr_bucket", f"{self.root}/index/batch-{n}").items():
+        for label, path in own.items():
             state["index"].setdefault(label, []).append(path)
         self._merged_index(state, n)
         state |= {"batch": n, "schema": rows.schema.jsonValue(), "dropped": [*state["dropped"], lost_path]}
@@ -148,7 +152,7 @@ class MessageStore:
         state["retired"] = [[at, p] for at, p in state["retired"] if at > n - self.keep]
         replace_json(self.spark, f"{self.root}/manifest.json", state)
         self.state = state
-        for path in [*gone, landed, f"{self.root}/incoming/index-{n}"]:
+        for path in [*gone, landed]:
             delete_path(self.spark, path)
         return [a for a in affected if a.removeprefix("=")]
 
